@@ -45,6 +45,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, queries.tokenizer_file(queries.WORD_BPE))
 
 
+def _shipped(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        shared.ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
     ("quality rules", keep_quality),
     ("exact dedup", drop_exact_copies),
@@ -52,6 +60,7 @@ STAGES = [
     ("mixing to weights", mix_sources),
     ("best-fit packing", pack),
 ]
+STAGES = [(name, _shipped(stage)) for name, stage in STAGES]
 
 #: Tokenisation, fingerprints and packing have no SQL; a brute-force version is in the tests.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import checkpointed, remove, scratch
+from tidemark.llm.shared import checkpointed, remove, scratch, ship
 from tidemark.session import table
 
 #: Where the vocabulary files of the public tokenizers are; a parameter of every operator that reads one.
@@ -71,6 +71,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": quality,
 }
 
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return query(spark, folder)
+
+    return run
+
+
+QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
+
 ORACLE_SQL: dict[str, str] = {
     "op6_source_mixing": r"""
 WITH sized AS (

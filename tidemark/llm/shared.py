@@ -36,7 +36,6 @@ def ship(spark: SparkSession) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where none is set (as in tests) a temporary one becomes it."""
-    ship(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
