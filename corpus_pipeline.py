@@ -6,7 +6,7 @@ the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, mixing, packing, quality, queries, shared, simhash
@@ -31,8 +31,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def _kept(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row for each of ``found``: by doc_id, which after exact dedup no two kept rows of the corpus share."""
-    return docs.select(*COLUMNS).join(found.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The rows of ``found``, by doc_id and the text's hash; of rows that are the same in both, one."""
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    keys = found.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    rows = rows.join(keys, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_hash") == F.col("kept_hash")), "left_semi")
+    same = Window.partitionBy("doc_id", "text_hash").orderBy("source", "lang", "n_chars")
+    return rows.withColumn("same", F.row_number().over(same)).filter("same = 1").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

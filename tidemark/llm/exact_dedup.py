@@ -27,7 +27,7 @@ SMALLEST, MEAN_BITS, LARGEST = 512, 11, 16_384
 WINDOW = 32
 #: A number for each byte value, from a rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)], np.uint32)
-SCHEMA = "uid long, doc_id long, n_chars long, text_sha256 string, names array<binary>"
+SCHEMA = "uid long, doc_id long, text_hash long, n_chars long, text_sha256 string, names array<binary>"
 
 
 def name_of(chunk: bytes) -> bytes:
@@ -65,8 +65,8 @@ def cut_points(data: bytes) -> list[int]:
 
 def _chunked(batches: Iterator[pa.RecordBatch], name: Callable[[bytes], bytes]) -> Iterator[tuple]:
     for batch in batches:
-        uids, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for i, text in enumerate(batch.column(2).to_pylist()):
+        uids, ids = batch.column("uid").to_pylist(), batch.column("doc_id").to_pylist()
+        for i, text in enumerate(batch.column("text").to_pylist()):
             data = text.encode().translate(None, IGNORED)
             ends = cut_points(data)
             chunks = [data[a:b] for a, b in zip([0, *ends], ends)]
@@ -75,19 +75,12 @@ def _chunked(batches: Iterator[pa.RecordBatch], name: Callable[[bytes], bytes])
 
 def _recipes(name: Callable[[bytes], bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-
-        def out() -> pa.RecordBatch:
-            c = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3]), pa.array(c[4], pa.list_(pa.binary()))], ["uid", "doc_id", "n_chars", "text_sha256", "names"])
-
-        for uid, doc_id, n_chars, data, _, names in _chunked(batches, name):
-            rows.append((uid, doc_id, n_chars, hashlib.sha256(data).hexdigest(), names))
-            if len(rows) == 5000:
-                yield out()
-                rows.clear()
-        if rows:
-            yield out()
+        for batch in batches:
+            rows = [(n_chars, hashlib.sha256(data).hexdigest(), names) for _, _, n_chars, data, _, names in _chunked(iter([batch]), name)]
+            if rows:
+                n_chars, digests, names = zip(*rows)
+                own = [batch.column(c) for c in ("uid", "doc_id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n_chars, pa.int64()), pa.array(digests), pa.array(names, pa.list_(pa.binary()))], ["uid", "doc_id", "text_hash", "n_chars", "text_sha256", "names"])
 
     return run
 
@@ -138,7 +131,8 @@ def _verified(rows: DataFrame, recipes: DataFrame, name: Callable[[bytes], bytes
 
 
 def dedup_exact(docs: DataFrame, name: Callable[[bytes], bytes] = name_of) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256 and the number of chunks.
+    """Per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, the number of
+    chunks and text_hash (xxhash64 of the text as it is).
 
     Texts are equal when identical without white space; a null text is an empty one. Of equal texts the row with the
     most code points in its text stays, then that with the smallest doc_id (null last), then the first of repeated
@@ -147,10 +141,10 @@ def dedup_exact(docs: DataFrame, name: Callable[[bytes], bytes] = name_of) -> Da
     ``name`` names a chunk; however bad a hash it is, only equal texts get equal recipes. A group of equal texts,
     however large, is one row of an aggregate that is combined before the shuffle.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text_or_empty().alias("text"))
     recipes = checkpointed(rows.mapInArrow(_recipes(name), SCHEMA))
     found = _verified(rows, recipes, name).withColumn("recipe", F.array_join(F.transform("recipe", F.hex), ","))
     best = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("uid").alias("row")))
     groups = found.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"))
     out = found.join(groups, "recipe")
-    return out.select("doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.row")).alias("kept"), "text_sha256", F.size("names").alias("n_chunks"))
+    return out.select("doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.row")).alias("kept"), "text_sha256", F.size("names").alias("n_chunks"), "text_hash")

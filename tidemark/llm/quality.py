@@ -33,9 +33,9 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def _pairs() -> Column:
-    """Of the array column ``words``: each word, a, with the next, b; null after the last."""
-    return F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("b"))
+def _pairs(words: Column) -> Column:
+    """Each word, a, with the next, b; null after the last."""
+    return F.arrays_zip(words.alias("a"), F.slice(words, 2, F.greatest(F.size(words), F.lit(1))).alias("b"))
 
 
 def _bucket(*words: Column) -> Column:
@@ -44,7 +44,7 @@ def _bucket(*words: Column) -> Column:
 
 def _counts(docs: DataFrame) -> DataFrame:
     """bucket, n, trusted: n-grams of all documents, and of those with ``trusted`` true. At most BUCKETS rows."""
-    rows = docs.select("trusted", words_of(F.col("text")).alias("words")).select("trusted", F.inline(_pairs()).alias("a", "b"))
+    rows = docs.select("trusted", words_of(F.col("text")).alias("words")).select("trusted", F.inline(_pairs(F.col("words"))).alias("a", "b"))
     two = F.when(F.col("b").isNotNull(), _bucket("a", "b"))
     ones = rows.select("trusted", F.explode(F.array(_bucket("a"), two)).alias("bucket")).filter("bucket is not null")
     return ones.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("trusted").alias("trusted"))
@@ -93,21 +93,38 @@ def _repeated(windows: Column) -> Column:
     return _once(again, lambda d: _once(F.when(F.size(d) <= 24, is_set(few(d))).otherwise(many()), _covered))
 
 
-def counted(docs: DataFrame, *keep: str) -> DataFrame:
-    """``docs``: a column ``text`` without nulls, and ``keep``. Adds words and the counts of the rules."""
-    base = docs.select(*keep, "text", words_of(F.col("text")).alias("words"))
-    windows = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    base = base.select(*keep, "text", "words", F.slice(windows, 1, F.greatest(F.size("words") - 2, F.lit(0))).alias("windows"), lines.alias("lines"))
-    return base.select(
-        *keep,
-        "words",
-        F.size("words").cast("long").alias("n_words"),
-        (F.length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0).cast("long")).otherwise(_repeated(F.col("windows"))).alias("n_repeat_words"),
-    )
+def judged(text: Column, ratios: Column, threshold: float) -> Column:
+    """A struct of the counts, the score and the verdict of a text.
+
+    One expression that binds each intermediate array once: a filter on the verdict, which the optimizer moves to the
+    scan, then carries the whole of it along and repeats nothing.
+    """
+    of = lambda *w: F.get(ratios, _bucket(*w))
+    add = lambda s, w: s + of(w["a"]) + F.when(w["b"].isNotNull(), of(w["a"], w["b"])).otherwise(0.0)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+
+    def repeats(words: Column) -> Column:
+        windows = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+        return _once(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(_repeated(w)))
+
+    def counts(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        return F.struct(
+            n.alias("n_words"),
+            (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+            _once(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
+            repeats(words).alias("n_repeat_words"),
+            F.when(n > 0, F.aggregate(_pairs(words), F.lit(0.0), add) / (2 * n - 1)).alias("score"),
+        )
+
+    def verdict(c: Column) -> Column:
+        failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
+        kept = ~failed & (F.coalesce(c["score"], F.lit(float("-inf"))) >= threshold)
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")
+        return F.struct(*(c[x].alias(x) for x in names), failed.alias("base_failed"), kept.alias("kept"))
+
+    return _once(_once(words_of(text), counts), verdict)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_trusted: int = MOST_TRUSTED) -> DataFrame:
@@ -120,9 +137,5 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mo
     """
     found = bucket_ratios(docs, labels, most_trusted).first()[0]  # BUCKETS numbers
     ratios = F.from_json(F.lit(json.dumps(found)), "array<double>")  # folded to a constant
-    rules = counted(docs.select(F.struct(*docs.columns).alias("doc"), text_or_empty().alias("text")), "doc")
-    of = lambda *w: F.get(ratios, _bucket(*w))
-    total = F.aggregate(_pairs(), F.lit(0.0), lambda s, w: s + of(w["a"]) + F.when(w["b"].isNotNull(), of(w["a"], w["b"])).otherwise(0.0))
-    scored = rules.withColumn("score", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1))).drop("words")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.coalesce("score", F.lit(float("-inf"))) >= threshold))
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), judged(text_or_empty(), ratios, threshold).alias("rules"))
+    return rows.select("doc", "rules.*")

@@ -46,13 +46,13 @@ def mixing(spark: SparkSession, folder: str) -> DataFrame:
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.exact_dedup import dedup_exact
 
-    return dedup_exact(table(spark, folder, "documents")).drop("n_chunks")
+    return dedup_exact(table(spark, folder, "documents")).drop("n_chunks", "text_hash")
 
 
 def simhash(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.simhash import near_duplicates
 
-    return near_duplicates(table(spark, folder, "documents")).drop("first")
+    return near_duplicates(table(spark, folder, "documents")).drop("first", "text_hash")
 
 
 def quality(spark: SparkSession, folder: str) -> DataFrame:

@@ -46,8 +46,8 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], ["uid", "doc_id", "fp"])
+        found = np.array([fingerprint(t) for t in batch.column(3).to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found)], ["uid", "doc_id", "text_hash", "fp"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,15 +159,16 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, most_bits: int = 3) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hexadecimal digits), component_id, first.
+    """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hexadecimal digits), component_id, first and
+    text_hash (xxhash64 of the text as it is).
 
     component_id is the smallest doc_id of all documents that links reach, directly or by others; ``first`` is true
     for one row of each component. A null text is an empty one; documents without words have fingerprint zero and
     link like any other. A null doc_id counts as above all others; of repeated rows one is first. An empty table
     gives no rows. Other columns are ignored.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    prints = checkpointed(rows.mapInArrow(_fingerprints, "uid long, doc_id long, fp long"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text_or_empty().alias("text"))
+    prints = checkpointed(rows.mapInArrow(_fingerprints, "uid long, doc_id long, text_hash long, fp long"))
     links = fingerprint_links(prints.select("fp").distinct(), most_bits)
     root = components(links)
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("uid").alias("row")))
@@ -176,5 +177,5 @@ def near_duplicates(docs: DataFrame, most_bits: int = 3) -> DataFrame:
     groups = joined.groupBy("root").agg(F.min("best").alias("best"))
     of_print = joined.select("fp", "root").join(groups, "root").select("fp", "best")
     return prints.join(of_print, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("best.id").alias("component_id"), (F.col("uid") == F.col("best.row")).alias("first")
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("best.id").alias("component_id"), (F.col("uid") == F.col("best.row")).alias("first"), "text_hash"
     )
