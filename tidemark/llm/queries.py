@@ -20,6 +20,28 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def warc(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.warc import read_warc, write_warc
+
+    path = scratch(spark, "warc")
+    write_warc(table(spark, folder, "pages"), path)
+    found = read_warc(spark, path, with_payload=False)
+    found = checkpointed(found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    remove(spark, path)
+    return found
+
+
+#: A conversation whose texts are control strings; every formatted table has it beside its own.
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def chat(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.chat import format_turns, read_formatted, turns_of_table
+
+    turns = turns_of_table(table(spark, folder, "conversations"))
+    return read_formatted(format_turns(turns.union(spark.createDataFrame(CONTROL_TURNS, turns.schema))))
+
+
 def packing(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.packing import pack_documents
 
@@ -63,6 +85,8 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_round_trip": warc,
+    "op3_chat_formatting": chat,
     "op4_best_fit_packing": packing,
     "op5_token_id_files": token_ids,
     "op6_source_mixing": mixing,
@@ -84,6 +108,28 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc_round_trip": r"""
+WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+marked AS (
+  SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest,
+         first_value(page_id) OVER (PARTITION BY payload ORDER BY page_id NULLS LAST) AS first_id,
+         row_number() OVER (PARTITION BY payload ORDER BY page_id NULLS LAST) AS k
+  FROM rows)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN k > 1 AND payload_bytes >= 100 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN k > 1 AND payload_bytes >= 100 THEN first_id END AS refers_to
+FROM marked""",
+    "op3_chat_formatting": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|turn|>' || chr(10) || '<|done|>') + length(role) + length(text)
+           + length(regexp_replace(role || text, '[^<[' || chr(9243) || ']', '', 'g'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id""",
     "op6_source_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
