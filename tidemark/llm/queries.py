@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.licenses import oracle_sql as licenses_oracle
 from tidemark.llm.shared import checkpointed, remove, scratch, ship
 from tidemark.session import table
 
@@ -71,6 +72,19 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return dedup_exact(table(spark, folder, "documents")).drop("n_chunks", "text_hash")
 
 
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.secrets import scan_secrets
+
+    return scan_secrets(table(spark, folder, "documents"))
+
+
+def licenses(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.licenses import TEMPLATES, scan_licenses
+
+    found = scan_licenses(table(spark, folder, "documents").select("doc_id", "text"), TEMPLATES)
+    return found.select("doc_id", "n_matches", "licenses")
+
+
 def simhash(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.simhash import near_duplicates
 
@@ -86,11 +100,13 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": warc,
+    "op2_license_scan": licenses,
     "op3_chat_formatting": chat,
     "op4_best_fit_packing": packing,
     "op5_token_id_files": token_ids,
     "op6_source_mixing": mixing,
     "op7_exact_dedup": exact_dedup,
+    "op8_secret_scan": secrets,
     "op9_simhash_near_dedup": simhash,
     "op10_quality_rules": quality,
 }
@@ -108,6 +124,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": licenses_oracle(),
     "op1_warc_round_trip": r"""
 WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 marked AS (
