@@ -29,7 +29,7 @@ class WordIds:
     white space only separates words.
     """
 
-    def __init__(self, tokenizer_path: str, spaced: bool, limit: int = 900_000):
+    def __init__(self, tokenizer_path: str, spaced: bool, limit: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already has a worker on every core
         from tokenizers import Tokenizer
 
@@ -71,19 +71,16 @@ class WordIds:
 
     def _joined(self, words: list[str]) -> bytes:
         known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > self.limit:
-            known.clear()
-        own = {}
-        for word in words:
-            if word not in known:
-                ids = self._word(word)
-                (known if len(word) <= LONGEST_KEPT else own)[word] = ids
-        if own or not all(map(known.__contains__, words)):  # long words, or the dictionary was cleared above
-            return b"".join([known[w] if w in known else own[w] if w in own else self._word(w) for w in words])
+        if new := [w for w in words if w not in known]:
+            if len(known) > self.limit:
+                known.clear()
+                new = words
+            own = {}
+            for word in new:
+                if word not in known:
+                    (known if len(word) <= LONGEST_KEPT else own)[word] = self._word(word)
+            if own:
+                return b"".join([known[w] if w in known else own[w] for w in words])
         return b"".join(map(known.__getitem__, words))
 
     def _blocks(self, text: str) -> Iterator[str]:
