@@ -90,8 +90,8 @@ def _encode(tokenizer_path: str, end_id: int, bits: int):
             return pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["bytes"])
 
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = ids.ids(text) + end
+            for name, data in zip(batch.column(0).to_pylist(), ids.many(batch.column(1))):
+                data += end
                 index.append((NO_ID if name is None else name, tokens, len(data) // 4))
                 tokens += len(data) // 4
                 waiting.append(data)

@@ -62,10 +62,9 @@ def _pieces(tokenizer_path: str, end_id: int, capacity: int):
         ids = word_ids(tokenizer_path, spaced=False)
         end, part, rows = end_id.to_bytes(4, "little"), None, []
         for batch in batches:
-            names, texts, parts = (batch.column(i).to_pylist() for i in range(3))
-            part = parts[0] if parts and part is None else part
-            for name, text in zip(names, texts):
-                data = ids.ids(text) + end
+            part = batch.column(2)[0].as_py() if batch.num_rows and part is None else part
+            for name, data in zip(batch.column(0).to_pylist(), ids.many(batch.column(1))):
+                data += end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     one = data[at : at + 4 * capacity]
                     rows.append((name, piece, at // 4, len(one) // 4, zlib.crc32(one)))

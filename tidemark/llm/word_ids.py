@@ -2,25 +2,25 @@
 
 Both public tokenizers cut a text before any single space that stands between two other characters, whatever comes
 further on, so the ids of a text are those of its words in a row. A word is met again far more often than a new one
-comes up; a dictionary of bounded size in each Python worker holds the ids of the words so far.
+comes up; each Python worker holds the ids of words in two dictionaries of bounded size. When the newer is full it
+becomes the older, from which words that are met again move over, so frequent words stay at hand.
 """
 
 from __future__ import annotations
 
 import os
 import string
+import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 
 #: Longer pieces aren't kept in the dictionary.
 LONGEST_KEPT = 60
 #: Texts are cut into blocks of about so many characters, to bound the memory that a very long one takes.
 BLOCK = 1 << 20
 
-# The bytes that byte-level tokenizers show as themselves; the others become 256, 257, ... in order.
-PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PLAIN_BYTES)}
-
 
 class WordIds:
     """Ids as little-endian unsigned 32-bit bytes.
@@ -29,59 +29,122 @@ class WordIds:
     white space only separates words.
     """
 
-    def __init__(self, tokenizer_path: str, spaced: bool, limit: int = 1_500_000):
+    def __init__(self, tokenizer_path: str, spaced: bool, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already has a worker on every core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced, self.lead, self.limit = spaced, " " if spaced else "", limit
+        #: Words as ``_cut`` gives them; one that begins with a line feed follows it, all others follow a space.
         self.words: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+        #: Runs of punctuation after letters.
+        self.tails: dict[str, bytes] = {}
 
     def _exact(self, piece: str) -> bytes:
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def _letters(self, piece: str) -> bytes:
-        """Of one run of letters or of punctuation, with its leading space: the tokenizer's model takes it as a whole."""
-        if self.tokenizer.normalizer is not None:
-            piece = self.tokenizer.normalizer.normalize_str(piece)
-        shown = piece.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-
-    def _word(self, word: str) -> bytes | None:
+    def _plain(self, letters: str) -> bool:
+        """One run of letters, before and after the tokenizer's normalizer, which makes letter and mark of some."""
+        if not letters.isalpha():
+            return False
+        return self.spaced or letters.isascii() or unicodedata.normalize("NFC", letters).lower().isalpha()
+
+    def _runs(self, runs: list[str], before: str) -> list[bytes]:
+        """Of runs of letters, each with ``before`` in front of it; one call for all, as the tokenizer cuts between them."""
+        found = self.tokenizer.encode(before + before.join(runs), add_special_tokens=False)
+        places, step = found.word_ids, 2 if before == "\n" else 1
+        if places[-1] != step * len(runs) - 1:  # a run that the tokenizer cuts further
+            return [self._exact(before + run) for run in runs]
+        starts = [0, *(i for i in range(1, len(places)) if places[i] != places[i - 1]), len(places)][::step]
+        data = array("I", found.ids).tobytes()
+        return [data[4 * i : 4 * j] for i, j in zip(starts, starts[1:])]
+
+    def _other(self, word: str) -> bytes | None:
         """None: the word's ids depend on what stands beside it."""
-        if self.spaced and (not word or word[0].isspace() or word[-1].isspace()):
+        if not self.spaced:
+            return self._exact(word) if word else b""
+        inner = word[1:] if word[:1] == "\n" else word
+        if not inner or inner[0].isspace() or inner[-1].isspace():
             return None
-        if any(x in word for x in self.special):
-            return self._exact(self.lead + word)
-        body = word.rstrip(string.punctuation)
-        if body and body.isalpha() and len(word) <= LONGEST_KEPT:
-            ids = self.words.get(body)
-            if ids is None:
-                ids = self.words[body] = self._letters(self.lead + body)
-            return ids if body is word or body == word else ids + self._tail(word[len(body) :])
-        return self._exact(self.lead + word) if word else b""
+        return self._exact(word if inner is not word else " " + word)
 
     def _tail(self, marks: str) -> bytes:
-        key = "\0" + marks
-        ids = self.words.get(key)
-        if ids is None:
-            ids = self.words[key] = self._letters(marks)
+        if (ids := self.tails.get(marks)) is None:
+            if len(self.tails) > self.limit:
+                self.tails.clear()
+            ids = self.tails[marks] = self._exact(marks)
         return ids
 
-    def _joined(self, words: list[str]) -> bytes:
+    def _learn(self, new: Iterable[str]) -> dict[str, bytes | None]:
+        """Puts words into the dictionary; returns those that are too long for it."""
+        known, older, own = self.words, self.older, {}
+        runs: dict[str, dict[str, str]] = {" ": {}, "\n": {}}
+        marked = []
+        for word in new:
+            if (ids := older.get(word)) is not None:
+                known[word] = ids
+                continue
+            body = word.rstrip(string.punctuation)
+            before = "\n" if self.spaced and word[:1] == "\n" else " "
+            letters = body[1:] if before == "\n" else body
+            if len(word) > LONGEST_KEPT:
+                own[word] = self._other(word)
+            elif self._plain(letters) and not any(x in word for x in self.special):
+                if body not in known:
+                    if (ids := older.get(body)) is not None:
+                        known[body] = ids
+                    else:
+                        runs[before][letters] = body
+                if body != word:
+                    marked.append((word, body))
+            else:
+                known[word] = self._other(word)
+        for before, found in runs.items():
+            for at in range(0, len(found), 1000):
+                some = list(found)[at : at + 1000] if len(found) > 1000 else list(found)
+                for letters, ids in zip(some, self._runs(some, before)):
+                    known[found[letters]] = ids
+        for word, body in marked:
+            known[word] = known[body] + self._tail(word[len(body) :])
+        return own
+
+    def _cut(self, text: str) -> list[str] | None:
+        """A block's words; of a tokenizer that keeps white space, the first is what stands before any space."""
+        if not self.spaced:
+            return text.replace("\n", " ").split(" ")
+        if "\n" in text:
+            if " \n" in text:
+                return None
+            if not ("\n\n" in text or "\n " in text or text[0] == "\n" or text[-1] == "\n"):
+                text = text.replace("\n", " \n")
+        return text.split(" ")
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        """Of blocks; the new words of all of them are learnt together."""
+        cut = [self._cut(text) for text in texts]
+        mine = [words[self.spaced :] for words in cut if words is not None]
+        new = {w for words in mine for w in words if w not in self.words}
+        if len(self.words) + len(new) > self.limit:
+            self.older, self.words = self.words, {}
+            new = {w for words in mine for w in words}
+        own = self._learn(new) if new else {}
+        return [self._joined(text, words, own) for text, words in zip(texts, cut)]
+
+    def _joined(self, text: str, words: list[str] | None, own: dict[str, bytes | None]) -> bytes:
+        if words is None:
+            return self._exact(text)
+        first = b""
+        if self.spaced:  # the first word has no space before it
+            first, words = self._exact(words[0]) if words[0] else b"", words[1:]
         known = self.words
-        if new := [w for w in words if w not in known]:
-            if len(known) > self.limit:
-                known.clear()
-                new = words
-            own = {}
-            for word in new:
-                if word not in known:
-                    (known if len(word) <= LONGEST_KEPT else own)[word] = self._word(word)
+        try:
             if own:
-                return b"".join([known[w] if w in known else own[w] for w in words])
-        return b"".join(map(known.__getitem__, words))
+                return first + b"".join([own[w] if w in own else known[w] for w in words])
+            return first + b"".join(map(known.__getitem__, words))
+        except TypeError:  # a word whose ids depend on the white space beside it
+            return self._exact(text)
 
     def _blocks(self, text: str) -> Iterator[str]:
         """Cut before a space between two characters that aren't white space; the space stays with the second block."""
@@ -97,18 +160,16 @@ class WordIds:
         yield text[at:] if at else text
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self._block_ids, self._blocks(text))) if len(text) > 2 * BLOCK else self._block_ids(text)
-
-    def _block_ids(self, text: str) -> bytes:
-        if not self.spaced:
-            return self._joined(text.replace("\n", " ").split(" "))
-        words = text.split(" ")
-        try:
-            if words[0]:  # the first word of a text has no space before it
-                return self._exact(words[0]) + (self._joined(words[1:]) if len(words) > 1 else b"")
-            return self._joined(words[1:]) if len(words) > 1 else b""
-        except TypeError:  # a word whose ids depend on the white space beside it
-            return self._exact(text)
+        return b"".join(b"".join(self._group([block])) for block in self._blocks(text))
+
+    def many(self, texts: pa.Array, rows: int = 128) -> Iterator[bytes]:
+        """Of a column of texts, some at a time; a long one by itself."""
+        for at in range(0, len(texts), rows):
+            some = texts.slice(at, rows).to_pylist()
+            if sum(map(len, some)) > BLOCK:
+                yield from map(self.ids, some)
+            else:
+                yield from self._group(some)
 
 
 _OPEN: dict[tuple[str, bool], WordIds] = {}
