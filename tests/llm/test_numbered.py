@@ -261,3 +261,15 @@ def test_quality(spark, both, texts, empty):
         assert r.score == (pytest.approx(score[r.doc.text]) if score[r.doc.text] is not None else None)
         assert r.kept == (not r.base_failed and r.score is not None and r.score >= quality.THRESHOLD)
     assert quality.quality(empty, labels).count() == 0 and quality.quality(both, labels.limit(0)).count() == len(texts)
+
+
+def test_all_trusted_documents_count(spark):
+    """More trusted documents than were once looked at, more labels of absent ones, null and repeated ids."""
+    docs = spark.range(30_000).selectExpr("id as doc_id", "concat('w', id, ' x') as text")
+    labels = spark.range(-40_000, 30_000).selectExpr("id as doc_id", "1 as quality")
+    assert quality.bucket_ratios(docs, labels).first()[0] == pytest.approx([0.0] * quality.BUCKETS)
+    more = docs.union(spark.sql("select null, 'w1 x'")).union(docs.filter("doc_id < 5"))
+    mixed = labels.union(labels.limit(9)).union(spark.sql("select null, 1"))
+    lone = more.filter("doc_id is not null").union(spark.sql("select -90000, 'w1 x'"))
+    counted = quality.bucket_ratios(more, mixed).first()[0]
+    assert counted == pytest.approx(quality.bucket_ratios(lone, labels).first()[0]) and min(counted) < 0

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import text_or_empty
 
 BUCKETS = 10_000
-#: Documents of which trusted text is learnt: at most so many, those with the smallest hashes.
-MOST_TRUSTED = 20_000
 #: Mean log ratio from which a document is kept.
 THRESHOLD = -0.05
 SYMBOLS = "[#*$%&|<>]"
@@ -50,16 +48,15 @@ def _counts(docs: DataFrame) -> DataFrame:
     return ones.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("trusted").alias("trusted"))
 
 
-def bucket_ratios(docs: DataFrame, labels: DataFrame, most_trusted: int = MOST_TRUSTED) -> DataFrame:
+def bucket_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row with ``ratios``: per bucket the log of trusted over raw frequency, one added to each count.
 
-    ``labels`` (doc_id, quality): trusted are documents with quality 1, at most ``most_trusted`` of them by the
-    smallest hash of doc_id, so their ids can be broadcast whatever the corpus. All documents make up the raw corpus.
-    Without trusted documents all ratios are those of an even distribution over the raw one.
+    ``labels`` (doc_id, quality): trusted are all documents with quality 1. Their ids grow with the corpus, so both sides
+    are dealt by doc_id; a task holds its share of the ids and streams the texts unsorted. All documents make up the
+    raw corpus. Without trusted documents all ratios are those of an even distribution over the raw one.
     """
     chosen = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("trusted_id")).distinct()
-    chosen = chosen.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(most_trusted)
-    marked = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("trusted_id"), "left")
+    marked = docs.select("doc_id", text_or_empty().alias("text")).join(chosen.hint("shuffle_hash"), F.col("doc_id") == F.col("trusted_id"), "left")
     counts = _counts(marked.select(F.col("trusted_id").isNotNull().alias("trusted"), "text"))
     whole = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
     sums = whole.agg(F.sum("n").alias("all_n"), F.sum("trusted").alias("all_t"), F.array_sort(F.collect_list(F.struct("bucket", "n", "trusted"))).alias("rows"))
@@ -127,7 +124,7 @@ def judged(text: Column, ratios: Column, threshold: float) -> Column:
     return _once(_once(words_of(text), counts), verdict)
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, most_trusted: int = MOST_TRUSTED) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Per row of ``docs`` (doc_id, text and any others): ``doc``, a struct of its columns, the counts, score and kept.
 
     n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (fewer than 50 words, or over half of
@@ -135,7 +132,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, mo
     at least ``threshold``. A null text has no words, so it isn't kept. Null doc_ids are never trusted. Repeated rows
     get equal results. An empty table gives no rows.
     """
-    found = bucket_ratios(docs, labels, most_trusted).first()[0]  # BUCKETS numbers
+    found = bucket_ratios(docs, labels).first()[0]  # BUCKETS numbers
     ratios = F.from_json(F.lit(json.dumps(found)), "array<double>")  # folded to a constant
     rows = docs.select(F.struct(*docs.columns).alias("doc"), judged(text_or_empty(), ratios, threshold).alias("rules"))
     return rows.select("doc", "rules.*")
