@@ -229,6 +229,15 @@ def fit(texts: list[str], seed: int = SEED) -> Field:
     return Field(W[:a], W[a:b], W[b : b + N_KINDS], W[b + N_KINDS :], T)
 
 
+def _uncovered(text: str, start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
+    """Is there anything but white space from start to end that no span of ``base`` has?"""
+    for s, _, e in base:
+        if s >= end or text[start:s].strip():
+            break
+        start = max(start, e)
+    return bool(text[start:end].strip())
+
+
 class Scanner:
     """A worker's field with the scores of the words so far, at most ``limit`` of them."""
 
@@ -271,7 +280,7 @@ class Scanner:
         return np.fromiter(map(number.__getitem__, words), np.int64, len(words))
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Spans of the field that no fixed pattern touches."""
+        """Spans of the field but those that ``base``, spans by start, covers whole; they may overlap it."""
         words = _WORD.findall(text) if not text.isascii() else [w.decode() for w in text.encode().split()]
         if not words:
             return []
@@ -288,7 +297,7 @@ class Scanner:
                 start += 1
             while start < end and text[end - 1] in "\"'`,;.)|":
                 end -= 1
-            if end - start >= 8 and all(end <= s or e <= start for s, _, e in base):
+            if end - start >= 8 and _uncovered(text, start, end, base):
                 out.append((start, 3, end))
         return out
 
