@@ -34,3 +34,12 @@ def test_query(spark, other, name):
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def _table(spark, name):
+    return spark.read.parquet(f"{FOLDER}/{name}.parquet")
+
+
+def test_every_fiftieth_vector_asks(spark):
+    asked = _table(spark, "embeddings").filter("vec_id % 50 = 0").count()
+    assert asked > 1 and catalogue.QUERIES["cosine_topk_each"](spark, FOLDER).count() == 25 * asked

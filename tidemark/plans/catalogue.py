@@ -289,6 +289,19 @@ def cosine_topk(spark, folder):
     return scored.orderBy(F.desc("score"), "vec_id").limit(25)
 
 
+@register(
+    "cosine_topk_each",
+    """SELECT query_id, vec_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (
+SELECT b.vec_id AS query_id, a.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS score
+FROM embeddings a, embeddings b WHERE b.vec_id % 50 = 0)) WHERE place <= 25""",
+)
+def cosine_topk_each(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    asked = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    scored = vectors.crossJoin(asked).select("query_id", "vec_id", F.round(X.cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
+    return A.top_per_key(scored, ["query_id"], 25, F.desc("score"), F.asc("vec_id"))
+
+
 @register(
     "same_user_within_hour",
     """SELECT a.event_id AS a, b.event_id AS b, a.user_id FROM events a JOIN events b ON a.user_id = b.user_id
