@@ -43,3 +43,9 @@ def _table(spark, name):
 def test_every_fiftieth_vector_asks(spark):
     asked = _table(spark, "embeddings").filter("vec_id % 50 = 0").count()
     assert asked > 1 and catalogue.QUERIES["cosine_topk_each"](spark, FOLDER).count() == 25 * asked
+
+
+@pytest.mark.parametrize("name", ["tf_idf_keywords", "longest_quote", "term_occurrences", "sentence_stats"])
+def test_all_languages_are_read(spark, name):
+    found = catalogue.QUERIES[f"{name}_all_languages"](spark, FOLDER).join(_table(spark, "documents"), "doc_id")
+    assert {r.lang for r in found.select("lang").distinct().collect()} == {"en", "de", "fr", "es"}

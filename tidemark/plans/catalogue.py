@@ -253,8 +253,8 @@ def keyword_any(spark, folder):
     "term_occurrences",
     "SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'tion', ''))) // 4 AS BIGINT) AS n FROM documents WHERE lang = 'en'",
 )
-def term_occurrences(spark, folder):
-    return table(spark, folder, "documents").filter("lang = 'en'").select("doc_id", X.occurrences(F.col("text"), "tion").cast("long").alias("n"))
+def term_occurrences(spark, folder, only="lang = 'en'"):
+    return table(spark, folder, "documents").filter(only).select("doc_id", X.occurrences(F.col("text"), "tion").cast("long").alias("n"))
 
 
 @register(
@@ -272,8 +272,8 @@ def top_tokens(spark, folder):
     r"""SELECT doc_id, count(*) AS sentences, CAST(max(length(s)) AS BIGINT) AS longest FROM (
 SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.!?\n]+'))) AS s FROM documents WHERE lang = 'en') WHERE s <> '' GROUP BY doc_id""",
 )
-def sentence_stats(spark, folder):
-    rows = table(spark, folder, "documents").filter("lang = 'en'").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
+def sentence_stats(spark, folder, only="lang = 'en'"):
+    rows = table(spark, folder, "documents").filter(only).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max(F.length("s")).cast("long").alias("longest"))
 
 
