@@ -49,3 +49,11 @@ def test_every_fiftieth_vector_asks(spark):
 def test_all_languages_are_read(spark, name):
     found = catalogue.QUERIES[f"{name}_all_languages"](spark, FOLDER).join(_table(spark, "documents"), "doc_id")
     assert {r.lang for r in found.select("lang").distinct().collect()} == {"en", "de", "fr", "es"}
+
+
+def test_upsert_reads_all_events(spark):
+    events = _table(spark, "events").filter("user_id % 3 <> 0")
+    kept = {r.user_id: r.kind for r in catalogue.QUERIES["upsert_later_over_earlier"](spark, FOLDER).collect()}
+    assert kept.keys() == {r.user_id for r in _table(spark, "events").select("user_id").distinct().collect()}
+    late = events.filter("ts >= timestamp_ntz'2024-01-16'").groupBy("user_id").agg({"event_type": "min"}).collect()
+    assert late and all(kept[u] == kind for u, kind in late)

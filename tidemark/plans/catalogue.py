@@ -349,6 +349,20 @@ def upsert(spark, folder):
     return A.upserted(per_user(2), new, ["user_id"])
 
 
+@register(
+    "upsert_later_over_earlier",
+    """WITH o AS (SELECT user_id, max(value) AS top, min(event_type) AS kind FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
+n AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE max(value) END AS top, min(event_type) AS kind FROM events WHERE (ts < TIMESTAMP '2024-01-16') IS NOT TRUE GROUP BY 1)
+SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.top, o.top) AS top, coalesce(n.kind, o.kind) AS kind FROM o FULL JOIN n ON o.user_id IS NOT DISTINCT FROM n.user_id""",
+)
+def upsert_by_time(spark, folder):
+    events = table(spark, folder, "events")
+    early = F.expr("coalesce(ts < timestamp_ntz'2024-01-16', false)")
+    per_user = lambda which: events.filter(which).groupBy("user_id").agg(F.max("value").alias("top"), F.min("event_type").alias("kind"))
+    new = per_user(~early).withColumn("top", F.when(F.coalesce(F.col("user_id") % 3, F.lit(1)) != 0, F.col("top")))
+    return A.upserted(per_user(early), new, ["user_id"])
+
+
 @register(
     "rollup_lang_source",
     "SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)",
