@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from tidemark.operators import analytics as A
 from tidemark.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -57,3 +59,11 @@ def test_upsert_reads_all_events(spark):
     assert kept.keys() == {r.user_id for r in _table(spark, "events").select("user_id").distinct().collect()}
     late = events.filter("ts >= timestamp_ntz'2024-01-16'").groupBy("user_id").agg({"event_type": "min"}).collect()
     assert late and all(kept[u] == kind for u, kind in late)
+
+
+def test_interleaving_drops_no_event(spark):
+    assert catalogue.QUERIES["interleave_all_by_type"](spark, FOLDER).count() == _table(spark, "events").count()
+    rows = spark.range(600).selectExpr("if(id % 7 = 0, null, 'hot') as k", "if(id % 11 = 0, null, id % 90 / 10) as v", "id")
+    order = lambda: (F.desc("v"), F.asc("id"))
+    turns = lambda found: sorted((r.id, r.turn) for r in found.collect())
+    assert turns(A.interleaved_in_buckets(rows, "k", F.floor("v"), *order())) == turns(A.interleaved(rows, "k", *order()))

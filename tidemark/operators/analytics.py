@@ -59,6 +59,18 @@ def interleaved(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("long"))
 
 
+def interleaved_in_buckets(rows: DataFrame, key: str, bucket: Column, *order: Column) -> DataFrame:
+    """``interleaved`` where one key may have most rows: ``bucket`` falls along ``order``, nulls last, so turns are counted
+    within each bucket and those of the buckets before are added."""
+    dealt = rows.withColumn("_bucket", bucket)
+    sizes = dealt.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_of")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_key").orderBy(F.desc_nulls_last("_of")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_key", "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    turns = dealt.withColumn("_turn", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order)))
+    joined = turns.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_of")))
+    return joined.select(*rows.columns, (F.col("_turn") + F.col("_before")).cast("long").alias("turn"))
+
+
 def capped(rows: DataFrame, role: str, caps: dict[str, int], otherwise: int, *order: Column) -> DataFrame:
     """At most so many rows of each role, the first in order."""
     most = F.lit(otherwise)

@@ -210,6 +210,15 @@ def interleave(spark, folder):
     return A.interleaved(rows, "event_type", F.desc("value"), F.asc("event_id")).filter("turn <= 20").drop("value")
 
 
+@register(
+    "interleave_all_by_type",
+    "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS turn FROM events",
+)
+def interleave_all(spark, folder):
+    rows = table(spark, folder, "events").select("event_id", "event_type", "value")
+    return A.interleaved_in_buckets(rows, "event_type", F.floor("value"), F.desc("value"), F.asc("event_id")).drop("value")
+
+
 @register(
     "capped_roles",
     """SELECT conv_id, turn, role, place FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY role ORDER BY length(coalesce(text, '')) DESC, conv_id, turn) AS place FROM conversations)
