@@ -35,9 +35,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where none is set (as in tests) a temporary one becomes it."""
+    """The folder of ``spark.checkpoint.dir``; where none is set, as in tests on one machine, a temporary one becomes it."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -61,12 +63,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def write_raw(rows: DataFrame, column: str, end: str, path: str) -> None:
-    """Writes a binary column as raw files: per partition one file, each row followed by ``end``.
+    """Writes a binary column as raw files, one for each row, ``end`` behind it.
 
     Spark's text writer copies the bytes as they are, so files go through Spark's commit protocol to whatever store
-    holds the path. Rows keep their order within a partition.
+    holds the path. Names have the partition's number and the row's number in it.
     """
-    rows.select(F.col(column).cast("string").alias("value")).write.option("lineSep", end).text(path)
+    rows.select(F.col(column).cast("string").alias("value")).write.option("lineSep", end).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -74,9 +76,23 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path)
 
 
-def parts_for(spark: SparkSession, rows: int, rows_per_part: int) -> int:
-    """So many partitions that none gets much over ``rows_per_part`` of ``rows``."""
-    return max(1, -(-rows // rows_per_part))
+def parts_for(amount: int, per_part: int) -> int:
+    """So many partitions that none gets much over ``per_part`` of ``amount``."""
+    return max(1, -(-amount // per_part))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, most_heavy: int = 500) -> DataFrame:
+    """``rows`` with the columns of ``groups``, one row for each key with the number of its rows in ``size``.
+
+    Keys with more than 1 / ``most_heavy`` of all rows, ``most_heavy`` at most, are broadcast, so that their rows stay
+    where they are; the others are joined by a shuffle. Rows without a group are dropped, as those with a null key.
+    ``rows`` is read twice and ``groups`` three times: both should be checkpointed or cheap.
+    """
+    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    groups = groups.withColumn("_heavy", F.col(size) * most_heavy > total)
+    heavy = F.broadcast(groups.filter("_heavy").drop("_heavy"))
+    others = rows.join(heavy.select(key), key, "left_anti").join(groups.filter("not _heavy").drop("_heavy"), key)
+    return rows.join(heavy, key).unionByName(others)
 
 
 def text_or_empty(column: str = "text") -> Column:

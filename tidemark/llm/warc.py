@@ -16,18 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import parts_for, read_raw, write_raw
+from tidemark.llm.shared import checkpointed, join_groups, parts_for, read_raw, write_raw
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: A gzip member begins with these bytes and, as no time is set, four zero bytes.
-MEMBER = b"\x1f\x8b\x08\x00"
 SLICE = 1 << 16
 
 
-def record_id(page_id: int | None, url: str | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}')}>"
+def record_id(page_id: int | None, url: str | None, digest: str, copy: int = 0) -> str:
+    """No two records of an archive share it: ``copy`` counts the repeats of a row."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}:{digest}:{copy}')}>"
 
 
 def block_of(payload_bytes: int, payload: bytes) -> bytes:
@@ -48,10 +47,11 @@ def _safe(url: str | None, page_id: int | None) -> str:
     return url if url and url.isprintable() else f"urn:page:{page_id}"
 
 
-def _page_record(page_id: int | None, url: str | None, digest: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def _page_record(page_id: int | None, url: str | None, digest: str, payload: bytes, copy: int, refers_to: tuple[int | None, str | None] | None) -> bytes:
+    """``refers_to``: page_id and url of the response that this record revisits."""
     headers = [
-        ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", record_id(page_id, url)),
+        ("WARC-Type", "response" if refers_to is None else "revisit"),
+        ("WARC-Record-ID", record_id(page_id, url, digest, copy)),
         ("WARC-Date", "2024-01-01T00:00:00Z"),
         ("WARC-Target-URI", _safe(url, page_id)),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
@@ -59,71 +59,88 @@ def _page_record(page_id: int | None, url: str | None, digest: str, payload: byt
     ]
     if page_id is not None:
         headers.append(("X-Page-ID", str(page_id)))
-    if revisit:
-        headers.append(("WARC-Profile", PROFILE))
-        if refers_to is not None:
-            headers.append(("X-Refers-To-Page-ID", str(refers_to)))
-    return member(headers, block_of(len(payload), b"" if revisit else payload))
+    if refers_to is not None:
+        headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(*refers_to, digest)), ("WARC-Refers-To-Target-URI", _safe(refers_to[1], refers_to[0]))]
+        if refers_to[0] is not None:
+            headers.append(("X-Refers-To-Page-ID", str(refers_to[0])))
+    return member(headers, block_of(len(payload), payload if refers_to is None else b""))
 
 
-def _archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's archive, in rows that leave out the first zero byte of each member's time.
+def closed(data: bytes) -> bytes:
+    """``data``, a member, with a short metadata record behind it unless it ends in a zero byte.
 
-    The file writer puts a zero byte after each row, so a row ends within the next member's header; the last record
-    is a short one of its own, whose last byte is zero as every member's of less than 16 MB.
+    The last four bytes of a member are its length before compression, so one of less than 16 MB ends in zero.
     """
-    rest, seen, any_row = b"", None, False
-    out: list[bytes] = []
-    size = 0
-
-    def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["bytes"])
-
-    for batch in batches:
-        names = ("page_id", "url", "html", "digest", "refers_to", "revisit")
-        for page_id, url, html, digest, refers_to, revisit in zip(*(batch.column(n).to_pylist() for n in names)):
-            this = (page_id, digest)
-            if not revisit and this == seen and len(html) >= LEAST_REVISIT:
-                revisit, refers_to = True, page_id  # a repeated row
-            seen = this
-            data = _page_record(page_id, url, digest, html, refers_to, revisit)
-            assert data[:8] == MEMBER + bytes(4)
-            out.append(rest + MEMBER)
-            rest, any_row = data[5:], True
-            size += len(data)
-            if size > 1 << 22:
-                yield row()
-                out, size = [], 0
-    if any_row:
-        last = member([("WARC-Type", "metadata"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'end')}>"), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"end: true\r\n")
-        out += [rest + MEMBER, last[5:-1]]
-    if out:
-        yield row()
-
-
-def write_warc(pages: DataFrame, path: str, pages_per_file: int = 4_000) -> None:
+    if data[-1] == 0:
+        return data
+    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, hashlib.sha256(data).hexdigest())}>"
+    return data + member([("WARC-Type", "metadata"), ("WARC-Record-ID", name), ("WARC-Date", "2024-01-01T00:00:00Z"), ("Content-Type", "application/warc-fields")], b"end: true\r\n")
+
+
+def _archives(file_bytes: int):
+    """A partition's archives, one per row, each of whole members and without its last byte, which is zero.
+
+    Rows come sorted by page, the markers of a page's payload (those without html) before it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[bytes] = []
+        size, seen, copy, marker = 0, None, 0, None
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(out)[:-1]], pa.binary())], ["bytes"])
+
+        for batch in batches:
+            names = ("page_id", "url", "digest", "html", "first_id", "first_url")
+            for page_id, url, digest, html, first_id, first_url in zip(*(batch.column(n).to_pylist() for n in names)):
+                if (page_id, url, digest) != seen:
+                    seen, copy, marker = (page_id, url, digest), 0, None
+                if html is None:
+                    marker = (first_id, first_url)
+                    continue
+                refers_to = marker or ((page_id, url) if copy and len(html) >= LEAST_REVISIT else None)
+                out.append(closed(_page_record(page_id, url, digest, html, copy, refers_to)))
+                copy += 1
+                size += len(out[-1])
+                if size >= file_bytes:
+                    yield row()
+                    out, size = [], 0
+        if out:
+            yield row()
+
+    return run
+
+
+def write_warc(pages: DataFrame, path: str, file_bytes: int = 1 << 25, part_bytes: int = 1 << 25) -> None:
     """Writes a record per row of ``pages`` (page_id, url, html), the payload being the html in UTF-8.
 
-    Of rows with equal payloads of at least 100 bytes, that with the smallest page_id (null last) is the response and
-    the others revisit it; of repeated rows the first is. A null html is an empty payload; a null or unprintable url
-    becomes ``urn:page:ID``. An empty table gives no archive. Other columns are ignored.
+    Of rows with equal payloads of at least 100 bytes, that with the smallest page_id (null last, then by url) is the
+    response and the others revisit it; of repeated rows the first is. A null html is an empty payload; a null or
+    unprintable url becomes ``urn:page:ID``. An empty table gives no archive. Other columns are ignored.
 
-    Payloads move once, to be dealt evenly by page_id, however many are equal; which of them is first is found from
-    digests alone.
+    Digests are taken first and the few rows that revisit others found from them. These markers and the pages then
+    move once, to be dealt evenly by page, however many payloads are equal. An archive is closed when it has
+    ``file_bytes``, so it is larger by one record at most; a task gets about ``part_bytes`` of html.
+
+    Spark has no sink for raw files. Its text writer puts a line end behind each row and checks no encoding, so a row
+    is an archive less its last byte, and the line end is that byte: zero, as in every member of less than 16 MB.
     """
     html = F.encode(F.coalesce(F.col("html"), F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
-    keys = rows.select("page_id", "digest", (F.length("html") >= LEAST_REVISIT).alias("large")).filter("large")
-    first = F.min(F.struct(F.col("page_id").isNull(), F.col("page_id").alias("id"))).alias("first")
-    firsts = keys.groupBy("digest").agg(first, F.count("*").alias("n")).filter("n > 1")
-    again = keys.select("page_id", "digest").distinct().join(firsts, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first.id")))
-    again = again.select(F.col("page_id").alias("again_id"), F.col("digest").alias("again_digest"), F.col("first.id").alias("refers_to"))
-    parts = parts_for(pages.sparkSession, pages.count(), pages_per_file)
-    marked = rows.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again_digest")), "left")
-    marked = marked.select("page_id", "url", "html", "digest", "refers_to", F.col("again_digest").isNotNull().alias("revisit"))
-    dealt = marked.repartition(parts, "page_id").sortWithinPartitions("page_id", "digest", "url")
-    write_raw(dealt.mapInArrow(_archive, "bytes binary"), "bytes", "\0", path)
+    keys = checkpointed(rows.select("page_id", "url", "digest", F.length("html").alias("size")))
+    order = F.struct(F.col("page_id").isNull(), F.col("page_id").alias("id"), F.col("url").isNull(), F.col("url").alias("at"))
+    large = keys.filter(F.col("size") >= LEAST_REVISIT)
+    firsts = checkpointed(large.groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    again = join_groups(large.select("page_id", "url", "digest").distinct(), firsts, "digest", "n")
+    again = again.filter(~(F.col("page_id").eqNullSafe(F.col("first.id")) & F.col("url").eqNullSafe(F.col("first.at"))))
+    none = lambda kind: F.lit(None).cast(kind)
+    markers = again.select("page_id", "url", "digest", none("binary").alias("html"), F.col("first.id").alias("first_id"), F.col("first.at").alias("first_url"))
+    both = markers.union(rows.select("page_id", "url", "digest", "html", none("long"), none("string")))
+    parts = parts_for(keys.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], part_bytes)
+    dealt = both.repartition(parts, "page_id", "url", "digest")
+    dealt = dealt.sortWithinPartitions("page_id", "url", "digest", F.col("html").isNotNull())
+    write_raw(dealt.mapInArrow(_archives(file_bytes), "bytes binary"), "bytes", "\0", path)
 
 
 @dataclass
@@ -223,6 +240,9 @@ def _read(with_payload: bool):
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Responses and revisits of the archives under ``path``, a task for each file or several.
 
+    An archive is one value of its task, so those of others must be smaller than a task's memory (and 2 GB); those of
+    ``write_warc`` are bounded. A folder without archives gives no rows. page_id is null in archives of others.
+
     page_id, target_uri, record_type, payload_bytes and payload_digest of the full payload, refers_to (the page that a
     revisit refers to) and payload, null for revisits. A wrong length or digest fails the read.
     """
