@@ -1,9 +1,9 @@
 """Chat formatting by schema fingerprints: heterogeneous layouts to canonical turns, to marked text, and back.
 
 A record's fingerprint is a hash of the sorted paths of its nested fields. It selects a declarative mapping, which says
-where a record keeps its turns; known fingerprints are found in a dictionary, others by the first mapping whose
-required paths they have. Turns are written with markers; marker strings inside texts are escaped and come back as
-they were.
+where a record keeps its turns: known fingerprints from a table made of the mappings' own layouts, others by the first
+mapping whose required paths they have. Turns are written with markers; marker strings inside texts are escaped and
+come back as they were.
 """
 
 from __future__ import annotations
@@ -12,12 +12,15 @@ import hashlib
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Other names of the two speakers, in layouts that use them.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -25,13 +28,15 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 class Mapping:
     """``turns``: a list's path with the fields of role and text in each element; else ``fields``: (role, path) in order.
 
-    ``rows``: a record is one turn, with the fields of its conversation, place, role and text.
+    ``rows``: a record is one turn, with the fields of its conversation, place, role and text. ``roles``: names of
+    roles that are replaced; all others stay as they are.
     """
 
     name: str
     turns: tuple[str, str, str] | None = None
     fields: tuple[tuple[str, str], ...] = ()
     rows: tuple[str, str, str, str] | None = None
+    roles: tuple[tuple[str, str], ...] = ()
 
     @property
     def required(self) -> frozenset[str]:
@@ -42,12 +47,18 @@ class Mapping:
             return frozenset((f"{at}[].{role}", f"{at}[].{text}"))
         return frozenset(path for role, path in self.fields if not path.endswith("?"))
 
+    @property
+    def layouts(self) -> list[frozenset[str]]:
+        """The sets of paths that records of this mapping usually have: with and without each optional one and an id."""
+        optional = [path.rstrip("?") for _, path in self.fields if path.endswith("?")] + ([] if self.rows else ["id"])
+        return [self.required | set(some) for k in range(len(optional) + 1) for some in combinations(optional, k)]
+
 
 #: In order: the first that fits an unknown fingerprint is taken. A path that ends in ? may be missing or empty.
 MAPPINGS = (
     Mapping("turn rows", rows=("conv_id", "turn", "role", "text")),
     Mapping("messages", turns=("messages", "role", "content")),
-    Mapping("conversations", turns=("conversations", "from", "value")),
+    Mapping("conversations", turns=("conversations", "from", "value"), roles=tuple(ROLES.items())),
     Mapping("instruction", fields=(("system", "system?"), ("user", "instruction"), ("user+", "input?"), ("assistant", "output"))),
     Mapping("prompt and response", fields=(("system", "system?"), ("user", "prompt"), ("assistant", "response"))),
     Mapping("prompt and completion", fields=(("user", "prompt"), ("assistant", "completion"))),
@@ -77,12 +88,18 @@ def fingerprint(paths: set[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
 
-def mapping_for(paths: set[str], known: dict[str, Mapping | None]) -> Mapping | None:
-    """By fingerprint; a new one is looked for once. None: no mapping fits."""
-    key = fingerprint(paths)
-    if key not in known:
-        known[key] = next((m for m in MAPPINGS if m.required <= paths), None)
-    return known[key]
+#: Which mapping a known fingerprint selects.
+FINGERPRINTS = {fingerprint(paths): mapping for mapping in reversed(MAPPINGS) for paths in mapping.layouts}
+
+
+@lru_cache(1 << 14)
+def _by_paths(paths: frozenset[str]) -> Mapping | None:
+    return next((m for m in MAPPINGS if m.required <= paths), None)
+
+
+def mapping_for(paths: set[str]) -> Mapping | None:
+    """By the table of fingerprints; for a new one by its paths. None: no mapping fits."""
+    return FINGERPRINTS.get(fingerprint(paths)) or _by_paths(frozenset(paths))
 
 
 def _get(value: object, path: str) -> object:
@@ -113,32 +130,44 @@ def canonical(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
                     found[-1] = (found[-1][0], f"{found[-1][1]}\n{text}")
             elif text or not path.endswith("?"):
                 found.append((role, text))
-    return [(ROLES.get(role, role), text) for role, text in found]
+    roles = dict(mapping.roles)
+    return [(roles.get(role, role), text) for role, text in found]
+
+
+def _turns_of(raw: str | None) -> tuple[str | None, list[tuple[int, str | None, str | None]], str]:
+    """The layout, turns and fingerprint of a record; where it can't be read, no layout and one turn of nulls."""
+    paths: set[str] = set()
+    try:
+        record = json.loads(raw or "")
+        paths = paths_of(record) if isinstance(record, dict) else set()
+        if (mapping := mapping_for(paths)) is None:
+            raise ValueError("no mapping")
+        first = record.get(mapping.rows[1]) if mapping.rows else 0
+        first = 0 if first is None else first
+        if not isinstance(first, int) or not 0 <= first < 1 << 62 or mapping.turns and not isinstance(_get(record, mapping.turns[0]), list):
+            raise ValueError("no place in a conversation, or turns that aren't a list")
+        turns = [(first + k, role, text) for k, (role, text) in enumerate(canonical(record, mapping))]
+        "".join(x for _, role, text in turns for x in (role, text)).encode()
+        return mapping.name, turns, fingerprint(paths)
+    except (ValueError, RecursionError):  # not JSON, nested too deep, or text with half a surrogate pair
+        return None, [(0, None, None)], fingerprint({p for p in paths if p.isprintable()})
 
 
 def turns_of_records(rows: DataFrame, column: str = "record", key: str = "conv_id") -> DataFrame:
     """``rows``: a key and a JSON string per conversation, of any known layout, mixed as they may be.
 
-    Returns conv_id, turn, role, text, layout and fingerprint. A record that isn't a JSON object, or that no mapping
-    fits, gives one row with null role and text, so none is lost. Empty lists of turns give no row.
+    Returns conv_id, turn, role, text, layout and fingerprint. A record gives one row with null layout, role and text,
+    so none is lost, if it is null or no JSON object, nested too deep, has half a surrogate pair in a text or a place
+    that is no whole number from 0, or if no mapping fits it. Empty lists of turns give no row. Null keys and repeated
+    records are as any other. Other columns are ignored. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Mapping | None] = {}
         for batch in batches:
             out = []
             for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    record = json.loads(raw or "")
-                except ValueError:
-                    record = None
-                paths = paths_of(record) if isinstance(record, dict) else set()
-                mapping = mapping_for(paths, known) if paths else None
-                if mapping is None:
-                    out.append((name, 0, None, None, None, fingerprint(paths)))
-                    continue
-                first = record.get(mapping.rows[1]) if mapping.rows else 0
-                out += [(name, (first or 0) + k, role, text, mapping.name, fingerprint(paths)) for k, (role, text) in enumerate(canonical(record, mapping))]
+                layout, turns, seen = _turns_of(raw)
+                out += [(name, turn, role, text, layout, seen) for turn, role, text in turns]
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["conv_id", "turn", "role", "text", "layout", "fingerprint"])
@@ -147,19 +176,22 @@ def turns_of_records(rows: DataFrame, column: str = "record", key: str = "conv_i
 
 
 def turns_of_table(table: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of a table with a turn per row, whose schema's fingerprint selects the mapping."""
-    mapping = mapping_for(paths_of_type(table.schema), {})
+    """conv_id, turn, role, text of a table with a turn per row, whose schema's fingerprint selects the mapping.
+
+    Roles stay as they are stored; null roles and texts are empty, null ids and places stay null, repeated rows are
+    turns of their own. Other columns are left out. An empty table gives no rows.
+    """
+    mapping = mapping_for(paths_of_type(table.schema))
     if mapping is None or mapping.rows is None:
         raise ValueError("no mapping for turns in rows fits the table's columns")
     conv, turn, role, text = map(F.col, mapping.rows)
-    name = F.coalesce(role, F.lit(""))
-    for old, new in ROLES.items():
-        name = F.when(role == old, F.lit(new)).otherwise(name)
-    return table.select(conv.cast("long").alias("conv_id"), turn.cast("long").alias("turn"), name.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    empty = F.lit("")
+    return table.select(conv.cast("long").alias("conv_id"), turn.cast("long").alias("turn"), F.coalesce(role, empty).alias("role"), F.coalesce(text, empty).alias("text"))
 
 
 # The template. BEGIN role NEWLINE text END, per turn. ESCAPE is the one character that texts can't have as it is:
-# every marker and control string of known templates that a text contains is broken up by it, and so is ESCAPE.
+# every marker and control string of known templates that a text contains is broken up by it, and so is ESCAPE; a line
+# feed in a role is ESCAPE and n.
 BEGIN, END, ESCAPE = "<|turn|>", "<|done|>", "␛"
 #: Control strings of common chat templates, and this one's.
 CONTROLS = (BEGIN, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>", "<|user|>", "<|assistant|>", "<|system|>", "<unk>", "<pad>")
@@ -184,7 +216,7 @@ def unescaped(text: str) -> str:
     out, at = [], 0
     while at < len(text):
         c = text[at]
-        out.append(c)
+        out.append("\n" if c == ESCAPE and text[at + 1] == "n" else c)
         at += 2 if c in "<[" or c == ESCAPE else 1
     return "".join(out)
 
@@ -193,13 +225,18 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """``turns`` (conv_id, turn, role, text): a row per turn with its ``segment`` of the conversation's formatted text.
 
     Segments of a conversation in order of turn, end to end, are its text; it is never put together in one value, so
-    a conversation may be larger than a task's memory. Of equal turns the order is by role and text. Nulls in role
-    and text are empty; a null conv_id is a conversation, a null turn comes first.
+    a conversation may be larger than a task's memory. Of equal turns the order is by segment. Nulls in role and text
+    are empty; a null conv_id is a conversation, a null turn comes first. Other columns are left out.
     """
     role, text = (F.coalesce(F.col(c), F.lit("")) for c in ("role", "text"))
-    segment = F.concat(F.lit(BEGIN), escaped(role), F.lit("\n"), escaped(text), F.lit(END))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), segment.alias("segment"))
-    return rows.select("conv_id", "turn", F.struct("role", "text").alias("order"), "segment")
+    in_role = F.replace(escaped(role), F.lit("\n"), F.lit(ESCAPE + "n"))
+    segment = F.concat(F.lit(BEGIN), in_role, F.lit("\n"), escaped(text), F.lit(END))
+    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), segment.alias("segment"))
+
+
+def write_formatted(turns: DataFrame, path: str) -> None:
+    """The segments of ``format_turns`` as a Parquet table. An empty table gives an empty one."""
+    format_turns(turns).write.parquet(path)
 
 
 class Parser:
@@ -256,10 +293,14 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
-def read_formatted(segments: DataFrame) -> DataFrame:
-    """Per conversation, read back from its formatted text: counts and digests of turns and of the loss mask.
+def read_formatted(spark: SparkSession, path: str) -> DataFrame:
+    """Per conversation of a table by ``write_formatted``, read back from its text: counts and digests of turns and of
+    the loss mask.
 
-    Segments go to their conversation's task in order and are parsed as a stream, with one turn in memory.
+    Segments go to their conversation's task in order and are parsed as a stream, with one turn in memory; the digest
+    of a conversation's turns needs them one after another, however many they are. A null conv_id is a conversation;
+    repeated turns are read as often as they were written. An empty table gives no rows. A text that doesn't have the
+    template's form fails the read.
     """
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "order")
+    ordered = spark.read.parquet(path).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment")
     return ordered.select("conv_id", "segment").mapInArrow(_parsed, READ)
