@@ -1,9 +1,10 @@
 """Mixing sources to target weights, as a time-varying curriculum.
 
-Every source has a weight schedule over training time from 0 to 1. The integral of the schedule is the source's
-demand of words up to each time; its documents, in a fixed pseudo-random order, stand one after another along their
-words; a document's place in training is the time at which the demand reaches it (the demand, inverted). The mix is
-all documents by that place, range-sorted.
+Every source has a weight schedule over the schedule's time from 0 to 1. Its integral is the source's demand of words
+up to each time; the demands of all sources add up to the mix's. A source's documents, in a fixed pseudo-random order,
+stand one after another along their words. The source's integral, inverted, gives the time at which its demand reaches
+a document, and the mix's demand at that time is the document's training position, counted in words of the whole mix.
+The mix is all documents by that position, range-sorted.
 
 A source that is asked for more than it has is read again, up to ``most_repeats`` times over; the excess goes to the
 other sources by weight until none is above its limit.
@@ -25,16 +26,14 @@ WEIGHTS = (5, 2, 1)
 class Ramp:
     """A schedule that goes in a straight line from ``start`` to ``end`` times the source's mean weight.
 
-    The mean over training is 1, so ``end`` is ``2 - start``; both are from 0 to 2.
+    The mean over training is 1, so ``end`` is ``2 - start``; both are from 0 to 2. Its integral up to time t is
+    ``start * t + (1 - start) * t * t``.
     """
 
     start: float = 1.0
 
-    def place(self, share: Column) -> Column:
-        """The time by which the source's demand has come to ``share`` of its total: the inverted integral.
-
-        The integral of ``start + (end - start) * t`` is ``start * t + (1 - start) * t * t``.
-        """
+    def time(self, share: Column) -> Column:
+        """When the source's demand has come to ``share`` of its total: the inverted integral."""
         if self.start == 1.0:
             return share
         a, b = 1.0 - self.start, self.start
@@ -73,14 +72,23 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_re
     return level.select("source", "turn", "weight", "source_size", F.when(F.col("at").isNull() | ~free, F.col("most").cast("double")).otherwise(shared).alias("target"))
 
 
+def _by_turn(turn: Column, values: list) -> Column:
+    """The value for the schedule whose turn it is."""
+    found = F.lit(None).cast("double")
+    for i, value in enumerate(values):
+        found = F.when(turn % len(values) == i, value).otherwise(found)
+    return found
+
+
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = 3, schedules: tuple[Ramp, ...] = SCHEDULES, docs_per_bucket: int = 20_000
 ) -> DataFrame:
     """Per document of ``docs`` (doc_id, text, source): size, source_size, target, taken and ``positions``.
 
-    ``positions`` has a time from 0 to 1 for each time that the mix takes the document, none if it doesn't. A
-    document is taken when its middle word is, so a source's words come within half a document of its target. The
-    order within a source is by the md5 of doc_id, the same in every run.
+    ``positions`` has a place in training, in words of the whole mix, for each time that the mix takes the document,
+    none if it doesn't. A document is taken when its middle word is, so a source's words come within half a document
+    of its target. The order within a source is by the md5 of doc_id, then size and the md5 of the text, the same in
+    every run.
 
     A running sum over a source, which may hold most documents, is made in two steps: over buckets of that order, as
     many as the documents ask for, then within each bucket. Null texts have size 0; null sources are one source, null
@@ -91,32 +99,37 @@ def mix(
     own = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     n = docs.count()
     digits = max(1, next(d for d in range(1, 9) if 16**d * docs_per_bucket >= n))
-    sized = docs.select(F.struct(*docs.columns).alias("doc"), F.struct("source").alias("of"), n_words().alias("size"), own.alias("order"))
+    tie = F.md5(F.coalesce("text", F.lit("")))
+    sized = docs.select(F.struct(*docs.columns).alias("doc"), F.struct("source").alias("of"), n_words().alias("size"), own.alias("order"), tie.alias("tie"))
     sized = sized.withColumn("bucket", F.substring("order", 1, digits))
     buckets = checkpointed(sized.groupBy("of", "bucket").agg(F.sum("size").alias("words")))
     sizes = buckets.groupBy("of").agg(F.sum("words").alias("source_size")).select(F.col("of.source").alias("source"), "source_size")
-    targets = source_targets(sizes, weights, most_repeats).withColumn("of_target", F.struct("source")).drop("source")
+    targets = source_targets(sizes, weights, most_repeats)
+    # the mix's demand at time t is level * t + slope * t * t, the sum of the sources' integrals
+    everyone = Window.partitionBy(F.lit(1))
+    starts = _by_turn(F.col("turn"), [F.lit(r.start) for r in schedules])
+    targets = targets.withColumns({"level": F.sum(F.col("target") * starts).over(everyone), "slope": F.sum(F.col("target") * (1.0 - starts)).over(everyone)})
+    targets = targets.withColumn("of_target", F.struct("source")).drop("source")
     ahead = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     places = buckets.select("of", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("before")).join(targets, F.col("of").eqNullSafe(F.col("of_target")))
-    within = Window.partitionBy("of", "bucket").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("of", "bucket").orderBy("order", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    right = places.select(F.col("of").alias("of2"), F.col("bucket").alias("bucket2"), "before", "turn", "weight", "source_size", "target")
+    right = places.select(F.col("of").alias("of2"), F.col("bucket").alias("bucket2"), "before", "turn", "weight", "source_size", "target", "level", "slope")
     placed = placed.join(right, F.col("of").eqNullSafe(F.col("of2")) & (F.col("bucket") == F.col("bucket2")))
     middle = F.col("before") + F.col("inner") + F.col("size") / 2.0
-    share = [F.try_divide(middle + k * F.col("source_size"), F.col("target")) for k in range(most_repeats)]
-    times = []
-    for s in share:
-        by_turn = F.lit(None).cast("double")
-        for i, schedule in enumerate(schedules):
-            by_turn = F.when(F.col("turn") % len(schedules) == i, schedule.place(s)).otherwise(by_turn)
-        times.append(F.when((F.col("target") > 0) & (s < 1.0), by_turn))
-    positions = F.filter(F.array(*times), lambda t: t.isNotNull())
+    share = F.array(*(F.try_divide(middle + k * F.col("source_size"), F.col("target")) for k in range(most_repeats)))
+    time = F.transform(F.filter(share, lambda x: (F.col("target") > 0) & (x < 1.0)), lambda x: _by_turn(F.col("turn"), [r.time(x) for r in schedules]))
+    positions = F.transform(time, lambda t: F.col("level") * t + F.col("slope") * t * t)
     out = placed.select("doc", F.struct("size", "source_size", "target", "weight", positions.alias("positions")).alias("mix"))
     taken = (F.size("mix.positions") * F.col("mix.size")).cast("long")
     return out.select("doc.*", F.col("mix").withField("taken", taken).alias("mix"))
 
 
 def in_training_order(mixed: DataFrame, column: str = "mix") -> DataFrame:
-    """One row per time that the mix takes a document, range-sorted by place, with the column ``position``."""
-    rows = mixed.select("*", F.explode(f"{column}.positions").alias("position"))
+    """One row per time that the mix takes a document, range-sorted by ``position``, which takes the place of any such column.
+
+    Documents that aren't taken have no row, so an empty mix gives none. Of equal positions (documents without words)
+    the order is by the md5 of doc_id, null as any other.
+    """
+    rows = mixed.drop("position").select("*", F.explode(f"{column}.positions").alias("position"))
     return rows.orderBy("position", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
