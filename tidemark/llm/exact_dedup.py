@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import checkpointed, text_or_empty
+from tidemark.llm.shared import checkpointed, join_groups, text_or_empty
 
 #: White space that the comparison ignores.
 IGNORED = b" \t\n\x0b\x0c\r"
@@ -114,20 +114,25 @@ def _verified(rows: DataFrame, recipes: DataFrame, name: Callable[[bytes], bytes
     shared = checkpointed(distinct.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"))
     if shared.isEmpty():
         return recipes.withColumn("recipe", F.col("names"))
-    # rare: documents with such a chunk get identifiers anew, from the chunks' bytes
+    # rare: texts with such a chunk get identifiers anew, from the chunks' bytes; a text is told by its two hashes, as
+    # the rows are read again
     numbers = distinct.join(shared, "name", "left_semi").withColumn("number", F.row_number().over(Window.partitionBy("name").orderBy("chunk")))
-    places = recipes.select("uid", F.posexplode("names").alias("at", "name"))
-    affected = places.join(shared, "name", "left_semi").select("uid").distinct()
+    places = recipes.select("text_hash", "text_sha256", F.explode("names").alias("name"))
+    affected = places.join(shared, "name", "left_semi").select("text_hash", "text_sha256").distinct()
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uid, _, _, _, chunks, names in _chunked(batches, name):
-            yield pa.RecordBatch.from_arrays([pa.array([uid] * len(names), pa.int64()), pa.array(range(len(names)), pa.int32()), pa.array(names, pa.binary()), pa.array(chunks, pa.binary())], ["uid", "at", "name", "chunk"])
+        for uid, _, _, data, chunks, names in _chunked(batches, name):
+            n, digest = len(names), hashlib.sha256(data).hexdigest()
+            columns = [pa.array([uid] * n, pa.int64()), pa.array([digest] * n), pa.array(range(n), pa.int32()), pa.array(names, pa.binary()), pa.array(chunks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["text_hash", "text_sha256", "at", "name", "chunk"])
 
-    parts = rows.join(affected, "uid", "left_semi").select("uid", "doc_id", "text").mapInArrow(contents, "uid long, at int, name binary, chunk binary")
+    some = rows.join(affected.select("text_hash").distinct(), "text_hash", "left_semi").dropDuplicates(["text_hash", "text"])
+    parts = some.select(F.col("text_hash").alias("uid"), "doc_id", "text").mapInArrow(contents, "text_hash long, text_sha256 string, at int, name binary, chunk binary")
     parts = parts.join(numbers.select("name", "chunk", "number"), ["name", "chunk"], "left")
     named = F.when(F.col("number") > 1, F.concat("name", F.encode(F.col("number").cast("string"), "utf-8"))).otherwise(F.col("name"))
-    anew = parts.groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", named.alias("id")))), lambda x: x["id"]).alias("anew"))
-    return recipes.join(anew, "uid", "left").withColumn("recipe", F.coalesce("anew", "names")).drop("anew")
+    listed = F.array_sort(F.collect_set(F.struct("at", named.alias("id"))))
+    anew = parts.groupBy("text_hash", "text_sha256").agg(F.transform(listed, lambda x: x["id"]).alias("anew"))
+    return recipes.join(anew, ["text_hash", "text_sha256"], "left").withColumn("recipe", F.coalesce("anew", "names")).drop("anew")
 
 
 def dedup_exact(docs: DataFrame, name: Callable[[bytes], bytes] = name_of) -> DataFrame:
@@ -139,12 +144,13 @@ def dedup_exact(docs: DataFrame, name: Callable[[bytes], bytes] = name_of) -> Da
     rows, so exactly one. An empty table gives no rows. Other columns are ignored.
 
     ``name`` names a chunk; however bad a hash it is, only equal texts get equal recipes. A group of equal texts,
-    however large, is one row of an aggregate that is combined before the shuffle.
+    however large, is one row of an aggregate that is combined before the shuffle; the rows of large groups then stay
+    where they are and get that row by a broadcast.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text_or_empty().alias("text"))
     recipes = checkpointed(rows.mapInArrow(_recipes(name), SCHEMA))
     found = _verified(rows, recipes, name).withColumn("recipe", F.array_join(F.transform("recipe", F.hex), ","))
     best = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("uid").alias("row")))
-    groups = found.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"))
-    out = found.join(groups, "recipe")
+    groups = checkpointed(found.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size")))
+    out = join_groups(found, groups, "recipe", "group_size")
     return out.select("doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.row")).alias("kept"), "text_sha256", F.size("names").alias("n_chunks"), "text_hash")
