@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import golay
-from tidemark.llm.shared import checkpointed, text_or_empty
+from tidemark.llm.shared import checkpointed, join_groups, text_or_empty
 
 SEED = 42
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -129,7 +129,10 @@ def _links(most_bits: int):
 
 
 def fingerprint_links(distinct: DataFrame, most_bits: int = 3) -> DataFrame:
-    """``distinct`` (fp long): links (u, v) that connect all fingerprints which differ in at most ``most_bits`` bits."""
+    """``distinct`` (fp long): links (u, v) that connect all fingerprints which differ in at most ``most_bits`` bits.
+
+    Fingerprints are to be distinct and not null. None give no links. Other columns are ignored.
+    """
     if not 0 <= most_bits <= 3:
         raise ValueError("the keys find up to three differing bits")
     keys = distinct.select("fp").mapInArrow(_keys, "key long, fp long, own boolean")
@@ -140,7 +143,8 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, root) for each node of ``links`` (u, v); root is the smallest node of its component.
 
     Alternates large-star (neighbours above a node go to the smallest neighbour) and small-star (those below it do)
-    until nothing changes. A node's neighbours are never gathered: each step is an aggregate and a join.
+    until nothing changes. A node's neighbours are never gathered: each step is an aggregate and a join. Links may
+    repeat and go either way; one of a node with itself, or with a null, is left out. No links give no rows.
     """
     edges = checkpointed(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
     before = None
@@ -165,17 +169,17 @@ def near_duplicates(docs: DataFrame, most_bits: int = 3) -> DataFrame:
     component_id is the smallest doc_id of all documents that links reach, directly or by others; ``first`` is true
     for one row of each component. A null text is an empty one; documents without words have fingerprint zero and
     link like any other. A null doc_id counts as above all others; of repeated rows one is first. An empty table
-    gives no rows. Other columns are ignored.
+    gives no rows. Other columns are ignored. Rows of one fingerprint, however many, don't go to one task.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text_or_empty().alias("text"))
     prints = checkpointed(rows.mapInArrow(_fingerprints, "uid long, doc_id long, text_hash long, fp long"))
     links = fingerprint_links(prints.select("fp").distinct(), most_bits)
     root = components(links)
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("uid").alias("row")))
-    by_print = prints.groupBy("fp").agg(best.alias("best"))
-    joined = by_print.join(root, by_print["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "best")
+    by_print = prints.groupBy("fp").agg(best.alias("best"), F.count("*").alias("n"))
+    joined = by_print.join(root, by_print["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "best", "n")
     groups = joined.groupBy("root").agg(F.min("best").alias("best"))
-    of_print = joined.select("fp", "root").join(groups, "root").select("fp", "best")
-    return prints.join(of_print, "fp").select(
+    of_print = checkpointed(joined.select("fp", "root", "n").join(groups, "root").select("fp", "best", "n"))
+    return join_groups(prints, of_print, "fp", "n").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("best.id").alias("component_id"), (F.col("uid") == F.col("best.row")).alias("first"), "text_hash"
     )
