@@ -10,8 +10,9 @@ from __future__ import annotations
 import hashlib
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ O, B, I = 0, 1, 2  # noqa: E741
 KINDS = ("assign", "access", "hex", "crf")
 #: Lines of so many documents at most are the background of the fit: those with the smallest hashes of doc_id.
 MOST_SAMPLED = 200
-SEQUENCES, LENGTH, STEPS, SEED = 1500, 24, 160, 7
+SEQUENCES, LENGTH, STEPS, SEED = 1500, 24, 120, 7
 
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -45,42 +46,59 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-_CUE = re.compile("pass|secret|token|key|credential|bearer|auth|pwd")
+_CUE = re.compile("pass|secret|token|key|credential|bearer|auth|pwd|dsn|webhook")
+#: What stands before values that only look like secrets.
+_OTHER_CUE = re.compile("sha|md5|digest|checksum|commit|uuid|guid|etag|hash|revision|order|invoice|request|trace|version")
 #: Most words: letters with a capital at most, and a mark at the end at most.
 _PLAIN = re.compile("([A-Z]?)([a-zß-öø-ÿ]+)([.,;:!?]?)")
+_UUID = re.compile("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_HEX_WORD = re.compile("(?:[a-z0-9]+:)?(?=[a-f]*[0-9])(?:[0-9a-f]+|[0-9A-F]+)")
+_NUMBERS = re.compile("[+(]?[0-9][0-9()./:,#+-]*")
+_WITH_PASSWORD = re.compile("[a-z][a-z0-9+.-]*://[^/@:]+:[^/@]+@")
+_NAMED = re.compile("[\"']?[A-Za-z_][A-Za-z0-9_.-]*[\"']?[=:]+(?=.)")
+#: How keys of well-known services begin.
+_PREFIXES = ("ghp_", "gho_", "github_pat_", "sk_live_", "rk_live_", "sk-", "xoxb-", "xoxp-", "glpat-", "npm_", "AIza", "eyJ", "SG.", "hf_")
 
 
 def kind_of(word: str) -> int:
-    """A neighbour's kind: 0 other, 1 cue, 2 cue that ends in a sign, 3 sign alone, 4 mixed letters and digits, 5 digits, 6 edge of a key block."""
+    """A neighbour's kind: 0 other, 1 cue, 2 cue that ends in a sign, 3 sign alone, 4 mixed letters and digits, 5 digits, 6 edge of a key block, 7 cue of a harmless value."""
     low = word.lower().strip("\"'")
+    if "-----" in low:
+        return 6
     if _CUE.search(low):
         return 2 if low[-1:] in ":=" else 1
     if low in (":", "=", ":=", "=>", "is"):
         return 3
-    if "-----" in low:
-        return 6
+    if _OTHER_CUE.search(low):
+        return 7
     digits = sum(c.isdigit() for c in low)
     return 0 if not digits else 5 if digits == len(low) else 4
 
 
-N_KINDS = 7
+N_KINDS = 8
 
 
 def shape_of(word: str) -> np.ndarray:
     """A word's own features, each 0 or 1."""
-    core = word.strip("\"'`,;.()|")
-    _, sign, value = core.rpartition("=")
-    value = value if sign and value else core
+    core = word.strip("\"'`,;.()|<>{}[]")
+    named = _NAMED.match(core)
+    name, value = (core[: named.end()].lower(), core[named.end() :].strip("\"'")) if named and "://" not in core else ("", core)
     n = len(value)
     plain = n > 0 and all(c in _CODE for c in value)
     digits, upper, lower = (sum(map(f, value)) for f in (str.isdigit, str.isupper, str.islower))
     changes = sum(a.isdigit() != b.isdigit() or a.isupper() != b.isupper() for a, b in zip(value, value[1:]))
     variety = len(set(value)) / n if n else 0
+    known, kind = value.startswith(_PREFIXES) and n >= 16, kind_of(word)
+    mail = "@" in value and "://" not in value and "." in value.rpartition("@")[2]
+    path = value.count("/") >= 2 or value[:1] in "/~" or value[:2] in ("./", "..") if n else False
+    in_name = bool(name) and bool(_CUE.search(name))
     return np.array([
         1, n >= 8, n >= 12, n >= 16, n >= 24, n >= 40, plain, plain and digits > 0 and lower > 0, plain and upper > 0 and lower > 0 and digits > 0,
         plain and upper > 0 and digits > 0 and lower == 0, digits == n and n > 0, changes >= 4, n > 0 and changes / n > 0.3, n >= 10 and variety > 0.6, value.isalpha(),
-        value.isascii(), "@" in word, "/" in word, "://" in word, word[:1] in "\"'", bool(sign), "-----" in word, kind_of(word) in (1, 2), kind_of(word) == 3,
-        value[:4] in ("ghp_", "sk_l", "xoxb", "glpa") or value[:3] in ("eyJ", "sk-"), plain and n >= 40 and n <= 80, "!" in value or "$" in value or "#" in value, word[-1:] in ".,;:!?",
+        value.isascii(), word[:1] in "\"'", bool(name), "-----" in word, kind in (1, 2), kind == 3, known, plain and 40 <= n <= 80 and digits > 0 and upper > 0,
+        "!" in value or "$" in value or "#" in value, word[-1:] in ".,;:!?", _UUID.fullmatch(value) is not None, n >= 7 and _HEX_WORD.fullmatch(value) is not None,
+        _NUMBERS.fullmatch(value) is not None, mail, path and "://" not in value, "://" in value, _WITH_PASSWORD.match(value) is not None, "base64," in value, in_name,
+        in_name and n >= 8 and not value.isalpha(), bool(name) and bool(_OTHER_CUE.search(name)), kind == 7, word == "PRIVATE", word in ("PUBLIC", "CERTIFICATE-----"), n >= 16 and changes >= 6 and plain,
     ], np.float64)
 
 
@@ -98,10 +116,14 @@ N_SHAPE, N_FILE = len(shape_of("x")), 4
 
 @dataclass
 class Field:
-    """Weights of the conditional random field; ``step[a, b]`` is that of tag b after tag a."""
+    """Weights of the conditional random field; ``step[a, b]`` is that of tag b after tag a.
+
+    ``before`` and ``earlier`` are those of the kinds of the word before and the one before that.
+    """
 
     shape: np.ndarray
     before: np.ndarray
+    earlier: np.ndarray
     after: np.ndarray
     file: np.ndarray
     step: np.ndarray
@@ -110,7 +132,8 @@ class Field:
         """A row per word; ``shapes`` are the words' features or their scores already."""
         own = shapes if shapes.shape[1] == 3 else shapes @ self.shape
         none = np.zeros(1, kinds.dtype)
-        return own + self.before[np.concatenate([none, kinds[:-1]])] + self.after[np.concatenate([kinds[1:], none])] + file @ self.file
+        last = np.concatenate([none, kinds[:-1]])
+        return own + self.before[last] + self.earlier[np.concatenate([none, last[:-1]])] + self.after[np.concatenate([kinds[1:], none])] + file @ self.file
 
 
 def viterbi(scores: np.ndarray, step: np.ndarray) -> list[int]:
@@ -154,13 +177,21 @@ def decode(scores: np.ndarray, step: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _picker(rng: np.random.Generator):
+    return lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
+
+
 def _made_up(rng: np.random.Generator) -> tuple[list[str], list[int]]:
     """Words with a secret, and their tags."""
-    pick = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
-    code, low = string.ascii_letters + string.digits, string.ascii_lowercase + string.digits
-    value = [pick(code, rng.integers(16, 44)), "ghp_" + pick(code, 36), "sk_live_" + pick(code, 24), "eyJ" + pick(code, 20) + "." + pick(code, 40), pick(low, rng.integers(20, 40)), pick(code, 10) + "!" + pick(code, 4), pick(code + "+/", 40)][rng.integers(7)]
-    form = rng.integers(6)
-    cue = ("passphrase", "key", "credential", "bearer", "auth", "pwd", "private_key", "access-key")[rng.integers(8)]
+    pick, code, low = _picker(rng), string.ascii_letters + string.digits, string.ascii_lowercase + string.digits
+    values = (
+        pick(code, rng.integers(16, 44)), "ghp_" + pick(code, 36), "sk_live_" + pick(code, 24), "eyJ" + pick(code, 20) + "." + pick(code, 40) + "." + pick(code, 30), pick(low, rng.integers(20, 40)),
+        pick(code, 10) + "!" + pick(code, 4), pick(code + "+/", 40), "AIza" + pick(code + "_-", 35), "xoxb-" + pick(string.digits, 12) + "-" + pick(code, 24), pick("0123456789abcdef", 24),
+        "Summer" + pick(string.digits, 4) + "!" + pick(code, 2), pick(low, 8) + "-" + pick(low, 8) + "-" + pick(low, 8),
+    )
+    value = values[rng.integers(len(values))]
+    cue = ("passphrase", "key", "credential", "bearer", "auth", "pwd", "private_key", "access-key", "client_secret", "auth_token", "PASSWD", "SECRET_KEY", "api-key")[rng.integers(13)]
+    form = rng.integers(11)
     if form == 0:
         return [cue, "is", value], [O, O, B]
     if form == 1:
@@ -171,62 +202,108 @@ def _made_up(rng: np.random.Generator) -> tuple[list[str], list[int]]:
         return [f"{cue}={value}"], [B]
     if form == 4:
         return [cue.title(), value], [O, B]
+    if form == 5:
+        return ["export", f"{cue.upper().replace('-', '_')}={value}"], [O, B]
+    if form == 6:
+        return ["Authorization:", ("Bearer", "Basic", "Token")[rng.integers(3)], value], [O, O, B]
+    if form == 7:
+        kind = ("postgres", "https", "mysql", "amqp", "redis")[rng.integers(5)]
+        return [f"{kind}://{pick(string.ascii_lowercase, 6)}:{pick(code, rng.integers(8, 20))}@{pick(low, 8)}.example.com/{pick(low, 4)}"], [B]
+    if form == 8:
+        return [f'{{"{cue}":', f'"{value}"}}'], [O, B]
+    if form == 9:  # the key of a service needs no cue
+        return [_PREFIXES[rng.integers(len(_PREFIXES))] + pick(code, rng.integers(20, 44))], [B]
     body = [pick(code + "+/", 64) for _ in range(rng.integers(1, 5))]
-    words = ["-----BEGIN", "PRIVATE", "KEY-----", *body, "-----END", "PRIVATE", "KEY-----"]
+    what = ([], ["RSA"], ["EC"], ["OPENSSH"])[rng.integers(4)]
+    words = ["-----BEGIN", *what, "PRIVATE", "KEY-----", *body, "-----END", *what, "PRIVATE", "KEY-----"]
     return words, [B] + [I] * (len(words) - 1)
 
 
 def _harmless(rng: np.random.Generator) -> list[str]:
-    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    return [["order", digits(16)], [f"{digits(2)}@mail{digits(1)}.example.com"], ["+" + digits(11)], ["http://www.example.com/a/" + digits(6)], ["the", "key", "idea", "is", "simple"], ["version", "3.12.4"], [digits(4) + "-" + digits(2) + "-" + digits(2)], ["a", "token", "of", "thanks"]][rng.integers(8)]
-
-
-def fit(texts: list[str], seed: int = SEED) -> Field:
-    """``texts``: documents as background, bounded by the caller. The same texts give the same weights."""
+    """Words that look like secrets and are none."""
+    pick, hexes = _picker(rng), "0123456789abcdef"
+    digits = lambda n: pick(string.digits, n)
+    uuid = "-".join(pick(hexes, n) for n in (8, 4, 4, 4, 12))
+    name, code = pick(string.ascii_lowercase, 7), string.ascii_letters + string.digits
+    body = [pick(code + "+/", 64) for _ in range(rng.integers(1, 4))]
+    public = (["PUBLIC", "KEY-----"], ["CERTIFICATE-----"])[rng.integers(2)]
+    cases = (
+        ["order", digits(16)], [f"{name}{digits(2)}@mail{digits(1)}.example.com"], ["+" + digits(11)], ["http://www.example.com/a/" + digits(6)], ["the", "key", "idea", "is", "simple"], ["version", "3.12.4"],
+        [digits(4) + "-" + digits(2) + "-" + digits(2)], ["a", "token", "of", "thanks"], [uuid], ["request", "id:", uuid], ["id", "is", uuid], ["sha256:" + pick(hexes, 64)], ["commit", pick(hexes, 40)], ["md5", "=", pick(hexes, 32)],
+        [".".join(str(x) for x in rng.integers(1, 255, 4))], [".".join(str(x) for x in rng.integers(1, 255, 4)) + "###"], ["from", ".".join(str(x) for x in rng.integers(1, 255, 4)), "port", digits(4)],
+        [f"/usr/lib/{name}/{pick(code, 8)}.so.{digits(1)}"], [f"https://www.example.org/{name}/{pick(code, 12)}?page={digits(2)}"], [f"data:image/png;base64,{pick(code + '+/', 120)}"], ["src=" + f'"/{name}/{pick(code, 6)}.js"'],
+        ["mail", "is", f"{name}.{pick(string.ascii_lowercase, 5)}@example.com"], ["key", "=", name], ["the", "password", "is", "not", "shown"], ["auth", "module", name], ["-----BEGIN", *public, *body, "-----END", *public],
+        ["(" + digits(3) + ")", digits(3) + "-" + digits(4)], ["revision", pick(hexes, 12)], ["card", digits(4), digits(4), digits(4), digits(4)], [pick(hexes, 40)], [name + "-" + pick(string.ascii_lowercase, 9) + "_" + pick(string.ascii_lowercase, 6)],
+        [pick(string.ascii_lowercase, 24)], [digits(12)], ["IBAN", "DE" + digits(20)], ["ISBN", digits(13)], [f"{name.title()}{pick(string.ascii_lowercase, 5).title()}Error:"], [f"{digits(2)}:{digits(2)}:{digits(2)}"],
+    )
+    return cases[rng.integers(len(cases))]
+
+
+def fit(texts: Sequence[str], seed: int = SEED) -> Field:
+    """``texts``: documents as background, bounded by the caller. The same texts give the same weights, fitted once."""
+    return _fitted(tuple(texts), seed)
+
+
+@lru_cache(8)
+def _fitted(texts: tuple[str, ...], seed: int) -> Field:
     rng = np.random.default_rng(seed)
     lines = [w for t in texts for x in t.split("\n") if len(w := x.split()[: 3 * LENGTH]) >= 4 and not base_spans(x)] or [["some", "plain", "words", "here"] * 4]
-    D = N_SHAPE + 2 * N_KINDS + N_FILE
-    X, Y = np.zeros((SEQUENCES, LENGTH, D)), np.zeros((SEQUENCES, LENGTH), np.int64)
+    D = N_SHAPE + 3 * N_KINDS + N_FILE
+    features, where, Y = [], [], np.zeros((SEQUENCES, LENGTH), np.int64)
+    own_features = lru_cache(None)(lambda w: (shape_of(w), kind_of(w)))
+    head = [" ".join(x) for x in lines[:3]]
     for s in range(SEQUENCES):
         line = lines[rng.integers(len(lines))]
         at = int(rng.integers(0, max(1, len(line) - LENGTH // 2)))
         words = line[at : at + LENGTH // 2]
         tags = [O] * len(words)
-        kind, put = rng.integers(4), int(rng.integers(0, len(words) + 1))
-        more, theirs = _made_up(rng) if kind < 2 else (h := _harmless(rng), [O] * len(h)) if kind == 2 else ([], [])
+        kind, put = rng.integers(5), int(rng.integers(0, len(words) + 1))
+        more, theirs = _made_up(rng) if kind < 2 else (h := _harmless(rng), [O] * len(h)) if kind < 4 else ([], [])
         words, tags = words[:put] + more + words[put:], tags[:put] + theirs + tags[put:]
         words, tags = words[:LENGTH], tags[:LENGTH]
-        kinds = [kind_of(w) for w in words]
-        file = file_of("\n".join([" ".join(words)] + [" ".join(x) for x in lines[:3]]))
-        for i, w in enumerate(words):
-            X[s, i, :N_SHAPE] = shape_of(w)
-            X[s, i, N_SHAPE + (kinds[i - 1] if i else 0)] = 1
-            X[s, i, N_SHAPE + N_KINDS + (kinds[i + 1] if i + 1 < len(words) else 0)] = 1
-            X[s, i, N_SHAPE + 2 * N_KINDS :] = file
+        shapes, kinds = zip(*map(own_features, words))
+        file = file_of("\n".join([" ".join(words), *head]))
+        for i, shape in enumerate(shapes):
+            x = np.zeros(D, np.float32)
+            x[:N_SHAPE] = shape
+            x[N_SHAPE + (kinds[i - 1] if i else 0)] = 1
+            x[N_SHAPE + N_KINDS + (kinds[i - 2] if i > 1 else 0)] = 1
+            x[N_SHAPE + 2 * N_KINDS + (kinds[i + 1] if i + 1 < len(words) else 0)] = 1
+            x[N_SHAPE + 3 * N_KINDS :] = file
+            features.append(x)
+            where.append(s * LENGTH + i)
         Y[s, : len(tags)] = tags  # the rest of a short line is outside, without features
+    X, where = np.stack(features), np.array(where)
     W, T = np.zeros((D, 3)), np.zeros((3, 3))
     moments = [np.zeros_like(W), np.zeros_like(W), np.zeros_like(T), np.zeros_like(T)]
-    flat, hot = X.reshape(-1, D), np.eye(3)[Y]
+    hot = np.eye(3)[Y]
     pairs = np.einsum("sla,slb->ab", hot[:, :-1], hot[:, 1:])
     for t in range(1, STEPS + 1):
-        E = (flat @ W).reshape(SEQUENCES, LENGTH, 3)
-        soft = lambda a, axis: (m := a.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(a - m).sum(axis=axis))
-        up, down = [E[:, 0]], [np.zeros((SEQUENCES, 3))]
+        scores = np.zeros((SEQUENCES * LENGTH, 3))
+        scores[where] = X @ W.astype(np.float32)
+        # probabilities forward and backward, scaled at every word
+        e, step = np.exp(scores - scores.max(axis=1, keepdims=True)).reshape(SEQUENCES, LENGTH, 3), np.exp(T)
+        up, down = [e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)], [np.ones((SEQUENCES, 3))]
         for i in range(1, LENGTH):
-            up.append(soft(up[-1][:, :, None] + T, 1) + E[:, i])
-            down.append(soft(T + (E[:, LENGTH - i] + down[-1])[:, None, :], 2))
+            now, back = (up[-1] @ step) * e[:, i], (e[:, LENGTH - i] * down[-1]) @ step.T
+            up.append(now / now.sum(axis=1, keepdims=True))
+            down.append(back / back.sum(axis=1, keepdims=True))
         down.reverse()
-        whole = soft(up[-1], 1)
-        own = np.exp(np.stack(up, 1) + np.stack(down, 1) - whole[:, None, None])
-        both = sum(np.exp(up[i][:, :, None] + T + (E[:, i + 1] + down[i + 1])[:, None, :] - whole[:, None, None]).sum(0) for i in range(LENGTH - 1))
-        slopes = (flat.T @ (hot - own).reshape(-1, 3)) / SEQUENCES - 0.002 * W, (pairs - both) / SEQUENCES - 0.002 * T
+        own = np.stack(up, 1) * np.stack(down, 1)
+        own /= own.sum(axis=2, keepdims=True)
+        both = np.zeros((3, 3))
+        for i in range(LENGTH - 1):
+            right = e[:, i + 1] * down[i + 1]
+            both += step * ((up[i] / ((up[i] @ step) * right).sum(axis=1, keepdims=True)).T @ right)
+        miss = (hot - own).reshape(-1, 3)[where].astype(np.float32)
+        slopes = (X.T @ miss) / SEQUENCES - 0.002 * W, (pairs - both) / SEQUENCES - 0.002 * T
         for k, (w, g) in enumerate(zip((W, T), slopes)):  # Adam
             m, v = moments[2 * k], moments[2 * k + 1]
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             w += 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    a, b = N_SHAPE, N_SHAPE + N_KINDS
-    return Field(W[:a], W[a:b], W[b : b + N_KINDS], W[b + N_KINDS :], T)
+    shape, before, earlier, after, file = np.split(W, [N_SHAPE, N_SHAPE + N_KINDS, N_SHAPE + 2 * N_KINDS, N_SHAPE + 3 * N_KINDS])
+    return Field(shape, before, earlier, after, file, T)
 
 
 def _uncovered(text: str, start: int, end: int, base: list[tuple[int, int, int]]) -> bool:
@@ -257,9 +334,10 @@ class Scanner:
             return shape_of(word) @ self.field.shape, kind_of(word)
         value = word if plain[3] and plain[3] in "!?:" else word[: plain.end(2)]
         cue = _CUE.search(word.lower()) is not None
-        key = (plain[1] != "", len(value) if len(value) < 81 else 81, value.isascii(), len(value) >= 10 and len(set(value)) / len(value) > 0.6, plain[3], word.lower() == "is", cue)
+        kind = kind_of(word)
+        key = (plain[1] != "", min(len(value), 81), value.isascii(), len(value) >= 10 and len(set(value)) / len(value) > 0.6, plain[3], word.lower() == "is", cue, kind)
         if key not in self.alike:
-            self.alike[key] = shape_of(word) @ self.field.shape, kind_of(word)
+            self.alike[key] = shape_of(word) @ self.field.shape, kind
         return self.alike[key]
 
     def _numbers(self, words: list[str]) -> np.ndarray:
@@ -291,12 +369,14 @@ class Scanner:
         places, out = [m.span() for m in _WORD.finditer(text)], []
         for first, last in found:
             start, end = places[first][0], places[last - 1][1]
-            if last - first == 1 and "=" in (word := text[start:end]).rstrip("="):
-                start += word.rstrip("=").rindex("=") + 1
-            while start < end and text[start] in "\"'`(|":
+            while start < end and text[start] in "\"'`(|<{[":
                 start += 1
-            while start < end and text[end - 1] in "\"'`,;.)|":
+            while start < end and text[end - 1] in "\"'`,;.)|>}]":
                 end -= 1
+            if last - first == 1 and (name := _NAMED.match(text[start:end])) and "://" not in text[start:end]:
+                start += name.end()
+                while start < end and text[start] in "\"'":
+                    start += 1
             if end - start >= 8 and _uncovered(text, start, end, base):
                 out.append((start, 3, end))
         return out
@@ -320,10 +400,18 @@ def _scan(field: Field):
     return run
 
 
-def sample_texts(docs: DataFrame, most: int = MOST_SAMPLED, longest: int = 20_000) -> list[str]:
-    """The background of the fit: ``most`` documents of up to ``longest`` characters, by the smallest hashes of doc_id."""
-    rows = docs.filter("doc_id is not null and length(text) between 1 and " + str(longest))
-    return [r[0] for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text").limit(most).collect()]
+def sample_texts(docs: DataFrame, most: int = MOST_SAMPLED, longest: int = 20_000) -> tuple[str, ...]:
+    """The background of the fit: ``most`` documents of up to ``longest`` characters, by the smallest hashes of doc_id.
+
+    Ids are chosen first, so only the texts of ``most`` of them come to the driver, and not so many of each partition.
+    Null ids and null, empty and longer texts are left out. Of repeated ids the first texts are taken. An empty table
+    gives no texts.
+    """
+    rows = docs.filter("doc_id is not null and length(text) between 1 and " + str(longest)).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    first = (F.xxhash64("doc_id"), "doc_id")
+    chosen = [r[0] for r in rows.select("doc_id").distinct().orderBy(*first).limit(most).collect()]
+    found = rows.filter(F.col("doc_id").isin(chosen)).groupBy("doc_id").agg(F.min("text").alias("text"))
+    return tuple(r.text for r in found.orderBy(*first).select("text").collect())
 
 
 def scan_secrets(docs: DataFrame, field: Field | None = None) -> DataFrame:
