@@ -1,6 +1,7 @@
 """Token ids in binary files: fixed-width bit packing with block offsets.
 
-A file is a row of blocks and an index, in ascending doc_id order; files follow each other in their names' order:
+A file is a row of blocks and an index, in ascending doc_id order; files follow each other by the two numbers in their
+names, that of the partition and that of the file in it:
 
 * block: the ids of up to ``BLOCK_IDS`` tokens, each in the least bits that hold every id of the vocabulary, lowest
   bit first, then zero bits up to the next byte, then one line feed;
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import parts_for, read_raw, text_or_empty, write_raw
+from tidemark.llm.shared import checkpointed, parts_for, read_raw, text_or_empty, write_raw
 from tidemark.llm.word_ids import word_ids
 
 MAGIC = 0x3153444942  # "BIDS1" as a number
@@ -80,14 +81,25 @@ class TokenFile:
             yield self.block(k)
 
 
-def _encode(tokenizer_path: str, end_id: int, bits: int):
+def _encode(tokenizer_path: str, end_id: int, bits: int, file_ids: int):
+    """A partition's files, one per row and without their last byte, the line feed that the writer adds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = word_ids(tokenizer_path, spaced=True), end_id.to_bytes(4, "little")
-        index, tokens, waiting, size = [], 0, [], 0
-        blocks = 0
+        index, tokens, blocks, waiting, size = [], 0, [], [], 0
+
+        def packed(data: bytes | memoryview) -> bytes:
+            some = np.frombuffer(data, "<u4")
+            if len(some) and int(some.max()) >> bits:
+                raise ValueError(f"an id needs more than {bits} bits")
+            return pack_bits(some, bits)
 
-        def row(*values: bytes) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["bytes"])
+        def file() -> pa.RecordBatch:
+            place = len(blocks) * (BLOCK_IDS * bits // 8 + 1)
+            last = packed(b"".join(waiting))
+            place += len(last) + 1 if last else 0
+            parts = [*blocks, *([last] if last else []), np.array(index, "<i8").tobytes(), struct.pack(FOOTER, MAGIC, bits, BLOCK_IDS, tokens, len(index), place)]
+            return pa.RecordBatch.from_arrays([pa.array([b"\n".join(parts)], pa.binary())], ["bytes"])
 
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), ids.many(batch.column(1))):
@@ -97,35 +109,33 @@ def _encode(tokenizer_path: str, end_id: int, bits: int):
                 waiting.append(data)
                 size += len(data)
                 if size >= 4 * BLOCK_IDS:
-                    joined, waiting = b"".join(waiting), []
-                    whole = len(joined) // (4 * BLOCK_IDS) * 4 * BLOCK_IDS
-                    for at in range(0, whole, 4 * BLOCK_IDS):
-                        yield row(pack_bits(np.frombuffer(joined, "<u4", BLOCK_IDS, at), bits))
-                        blocks += 1
-                    waiting, size = [joined[whole:]], len(joined) - whole
-        if not index:
-            return
-        place = blocks * (BLOCK_IDS * bits // 8 + 1)
-        if size:
-            yield row(last := pack_bits(np.frombuffer(b"".join(waiting), "<u4"), bits))
-            place += len(last) + 1
-        yield row(np.array(index, "<i8").tobytes(), struct.pack(FOOTER, MAGIC, bits, BLOCK_IDS, tokens, len(index), place))
+                    joined = memoryview(b"".join(waiting))
+                    whole = size // (4 * BLOCK_IDS) * 4 * BLOCK_IDS
+                    blocks += [packed(joined[at : at + 4 * BLOCK_IDS]) for at in range(0, whole, 4 * BLOCK_IDS)]
+                    waiting, size = [bytes(joined[whole:])], size - whole
+                if tokens >= file_ids:
+                    yield file()
+                    index, tokens, blocks, waiting, size = [], 0, [], [], 0
+        if index:
+            yield file()
 
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int, end_id: int = 0, docs_per_file: int = 12_000) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, vocabulary: int, end_id: int = 0, part_chars: int = 24_000_000, file_ids: int = 1 << 23) -> None:
     """Writes the ids of every whole text of ``docs`` (doc_id, text) and ``end_id`` after each.
 
-    Documents are dealt out by ranges of doc_id, about ``docs_per_file`` a file, so ascending order needs no single
-    task. A null text is an empty one. A null doc_id comes first; equal doc_ids follow each other in the order of
-    their texts, so repeated rows give the same file in any run. An empty table gives no file. Other columns are
-    ignored.
+    Documents are dealt out by ranges of doc_id and of a hash of their texts, about ``part_chars`` characters a task,
+    so ascending order needs no single task, nor do many rows of one doc_id. A file is closed when it has ``file_ids``
+    ids, so it is larger by one document at most. A null text is an empty one. A null doc_id comes first; equal doc_ids
+    follow each other in the order of that hash, then of their texts, so repeated rows give the same files in any run.
+    An empty table gives no file. Other columns are ignored. An id that the vocabulary's bits can't hold is an error.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    parts = parts_for(docs.sparkSession, docs.count(), docs_per_file)
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    write_raw(ordered.mapInArrow(_encode(tokenizer_path, end_id, bits_for(vocabulary)), "bytes binary"), "bytes", "\n", path)
+    text = text_or_empty()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    parts = parts_for(rows.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0], part_chars)
+    ordered = rows.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
+    write_raw(ordered.mapInArrow(_encode(tokenizer_path, end_id, bits_for(vocabulary), file_ids), "bytes binary"), "bytes", "\n", path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +165,14 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document of the files: file, doc_id, start (in all files), n_tokens, ids_crc32.
 
-    A file's first place in the whole is the sum of the files before it: one row per file goes through one task.
+    A file's first place in the whole is the sum of the files before it, by the numbers in their names: one row per
+    file goes through one task. A folder without files gives no rows; null doc_ids come back as null, repeated ones as
+    often as they were written. A file that isn't one of these fails the read.
     """
     content = read_raw(spark, path).select("path", "content")
-    found = content.mapInArrow(_documents, "file string, doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = checkpointed(content.mapInArrow(_documents, "file string, doc_id long, start long, n_tokens long, ids_crc32 long"))
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
     sums = found.groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(number(r"part-(\d+)-[^/]*$"), number(r"-c(\d+)[^/]*$")).rowsBetween(Window.unboundedPreceding, -1)
     first = sums.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
     return found.join(first, "file").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "file")

@@ -9,6 +9,7 @@ becomes the older, from which words that are met again move over, so frequent wo
 from __future__ import annotations
 
 import os
+import re
 import string
 import unicodedata
 from array import array
@@ -35,6 +36,8 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: A mark before a letter in each: none is part of a word of letters with marks behind them.
+        self.marked_specials = all(re.search(r"[^\w\s].*\w", x) for x in self.special)
         self.spaced, self.lead, self.limit = spaced, " " if spaced else "", limit
         #: Words as ``_cut`` gives them; one that begins with a line feed follows it, all others follow a space.
         self.words: dict[str, bytes | None] = {}
@@ -91,7 +94,7 @@ class WordIds:
             letters = body[1:] if before == "\n" else body
             if len(word) > LONGEST_KEPT:
                 own[word] = self._other(word)
-            elif self._plain(letters) and not any(x in word for x in self.special):
+            elif self._plain(letters) and (self.marked_specials or not any(x in word for x in self.special)):
                 if body not in known:
                     if (ids := older.get(body)) is not None:
                         known[body] = ids
