@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -78,7 +79,7 @@ def test_bit_packing_round_trip(bits):
 
 def test_token_files(spark, both, texts, empty, monkeypatch):
     path = scratch(spark, "test-tokens")
-    binary_ids.write_token_files(both, path, queries.tokenizer_file(queries.BYTE_BPE), queries.BYTE_BPE_SIZE, docs_per_file=50)
+    binary_ids.write_token_files(both, path, queries.tokenizer_file(queries.BYTE_BPE), queries.BYTE_BPE_SIZE, part_chars=60_000, file_ids=9_000)
     found = binary_ids.read_token_files(spark, path).collect()
     encoded = {t: array("I", ids_of(queries.BYTE_BPE, t or "") + [0]) for _, t in texts}
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == Counter((d, len(encoded[t]), zlib.crc32(encoded[t].tobytes())) for d, t in texts)
@@ -88,23 +89,43 @@ def test_token_files(spark, both, texts, empty, monkeypatch):
         at += r.n_tokens
     order = [r.doc_id for r in sorted(found, key=lambda r: r.start) if r.doc_id is not None]
     assert order == sorted(order)
-    one = spark.read.format("binaryFile").option("pathGlobFilter", "part-00001*").load(path).first().content
-    file = binary_ids.TokenFile(one)
+    kept = [binary_ids.TokenFile(r.content) for r in spark.read.format("binaryFile").load(path).collect()]
+    assert len(kept) > 10 and sum(f.documents for f in kept) == len(texts)
+    longest = max(len(x) for x in encoded.values())
+    assert all(f.tokens < 9_000 + longest for f in kept)
+    file = max(kept, key=lambda f: f.tokens)
     everything = np.concatenate(list(file.blocks()))
     for start, count in ((0, 5), (file.block_ids - 3, 7), (len(everything) - 2, 2)):
         assert (file.ids(start, count) == everything[start : start + count]).all()
+    with pytest.raises(Exception, match="more than 12 bits"):
+        binary_ids.write_token_files(both, scratch(spark, "test-tokens"), queries.tokenizer_file(queries.BYTE_BPE), 4096)
     none = scratch(spark, "test-tokens")
     binary_ids.write_token_files(empty, none, queries.tokenizer_file(queries.BYTE_BPE), queries.BYTE_BPE_SIZE)
     assert binary_ids.read_token_files(spark, none).count() == 0
 
 
+def test_token_files_follow_each_other_by_number(spark, monkeypatch):
+    """Names of more than 99,999 partitions don't sort as strings."""
+    names = ["part-100000-a-c000.txt", "part-10001-a-c010.txt", "part-10001-a-c1001.txt", "part-00002-a-c000.txt"]
+    rows = [(f"file:/x/{n}", b"") for n in names]
+    monkeypatch.setattr(binary_ids, "read_raw", lambda *_: spark.createDataFrame(rows, "path string, content binary"))
+
+    def one_each(batches):
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([7] * n), pa.array([0] * n), pa.array([10] * n), pa.array([1] * n)], ["file", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+    monkeypatch.setattr(binary_ids, "_documents", one_each)
+    found = {r.file.split("/")[-1]: r.start for r in binary_ids.read_token_files(spark, "x").collect()}
+    assert sorted(names, key=found.get) == [names[3], names[1], names[2], names[0]]
+
+
 def test_mixing(both, odd, empty):
     found = [r.mix.asDict() | {"doc_id": r.doc_id, "source": r.source} for r in mixing.mix(both, docs_per_bucket=20).collect()]
     sizes = Counter()
     for r in found:
         sizes[r["source"]] += r["size"]
         assert r["taken"] == len(r["positions"]) * r["size"] <= 3 * r["size"]
-        assert all(0 <= p <= 1 for p in r["positions"])
     names = sorted((s for s in sizes if s is not None), key=lambda s: s) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
     capped, total = set(), sum(sizes.values())
@@ -120,6 +141,23 @@ def test_mixing(both, odd, empty):
     for s in names:
         some = [r for r in found if r["source"] == s]
         assert abs(sum(r["taken"] for r in some) - some[0]["target"]) <= max(r["size"] for r in some)
+    # each source's words in each tenth of training, by its schedule
+    turn = {s: i % 3 for i, s in enumerate(names)}
+    target = {r["source"]: r["target"] for r in found}
+    integral = lambda s, t: target[s] * (mixing.SCHEDULES[turn[s]].start * t + (1 - mixing.SCHEDULES[turn[s]].start) * t * t)
+    grid = np.linspace(0, 1, 10_001)
+    words = sum(integral(s, grid) for s in names)
+    tenths = np.interp(np.linspace(0, words[-1], 11), words, grid)
+    assert all(0 <= p <= words[-1] for r in found for p in r["positions"])
+    for s in names:
+        largest = max(r["size"] for r in found if r["source"] == s)
+        for k in range(10):
+            here = sum(r["size"] for r in found if r["source"] == s for p in r["positions"] if k <= 10 * p / words[-1] < k + 1)
+            assert abs(here - (integral(s, tenths[k + 1]) - integral(s, tenths[k]))) <= largest + 2
+    clashing = mixing.mix(odd)
+    assert set(odd.columns) == set(clashing.columns) and clashing.count() == odd.count()
+    flat = {(r.doc_id, r.text, r.source): r.mix.positions for r in mixing.mix(both, schedules=(mixing.Ramp(1.0),)).collect()}
+    assert any(flat[r.doc_id, r.text, r.source] != r.mix.positions for r in mixing.mix(both).collect())
     order = [r.position for r in mixing.in_training_order(mixing.mix(both)).collect()]
     assert order == sorted(order) and len(order) == sum(len(r["positions"]) for r in found)
     assert mixing.mix(empty).count() == 0
@@ -129,7 +167,7 @@ def test_schedule_inverts_its_integral(spark):
     from pyspark.sql import functions as F
 
     for start in (0.0, 0.5, 1.0, 1.5, 2.0):
-        rows = spark.range(11).select((F.col("id") / 10.0).alias("x")).select("x", mixing.Ramp(start).place(F.col("x")).alias("t")).collect()
+        rows = spark.range(11).select((F.col("id") / 10.0).alias("x")).select("x", mixing.Ramp(start).time(F.col("x")).alias("t")).collect()
         assert all(start * r.t + (1 - start) * r.t * r.t == pytest.approx(r.x, abs=1e-12) for r in rows)
 
 

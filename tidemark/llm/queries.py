@@ -32,15 +32,20 @@ def warc(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
-#: A conversation whose texts are control strings; every formatted table has it beside its own.
-CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+#: A conversation whose texts are control strings, in a layout of its own; every formatted table has it, too.
+CONTROL_RECORD = (-7, '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"}, {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}')
 
 
 def chat(spark: SparkSession, folder: str) -> DataFrame:
-    from tidemark.llm.chat import format_turns, read_formatted, turns_of_table
+    from tidemark.llm.chat import read_formatted, turns_of_records, turns_of_table, write_formatted
 
-    turns = turns_of_table(table(spark, folder, "conversations"))
-    return read_formatted(format_turns(turns.union(spark.createDataFrame(CONTROL_TURNS, turns.schema))))
+    record = turns_of_records(spark.createDataFrame([CONTROL_RECORD], "conv_id long, record string"))
+    turns = turns_of_table(table(spark, folder, "conversations")).unionByName(record.select("conv_id", "turn", "role", "text"))
+    path = scratch(spark, "formatted")
+    write_formatted(turns, path)
+    found = checkpointed(read_formatted(spark, path))
+    remove(spark, path)
+    return found
 
 
 def packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,16 +59,19 @@ def token_ids(spark: SparkSession, folder: str) -> DataFrame:
 
     path = scratch(spark, "token-files")
     write_token_files(table(spark, folder, "documents"), path, tokenizer_file(BYTE_BPE), BYTE_BPE_SIZE)
-    found = checkpointed(read_token_files(spark, path).drop("file"))
+    found = read_token_files(spark, path)  # which holds what it has read
     remove(spark, path)
-    return found
+    return found.drop("file")
 
 
 def mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents by their first place in training; those that the mix doesn't take come last."""
     from tidemark.llm.mixing import mix
 
     found = mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
-    return found.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    place = lambda k: F.round(F.try_element_at("mix.positions", F.lit(k)), 2)
+    found = found.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", place(1).alias("first_position"), place(-1).alias("last_position"))
+    return found.orderBy(F.asc_nulls_last("first_position"), "doc_id")
 
 
 def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -139,18 +147,22 @@ FROM marked""",
     "op3_chat_formatting": r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+safe AS (
+  SELECT *, replace(replace(replace(role, chr(9243), chr(9243) || chr(9243)), '<', '<' || chr(9243)), '[', '[' || chr(9243)) AS r,
+            replace(replace(replace(text, chr(9243), chr(9243) || chr(9243)), '<', '<' || chr(9243)), '[', '[' || chr(9243)) AS t
+  FROM turns),
+formatted AS (SELECT *, '<|turn|>' || replace(r, chr(10), chr(9243) || 'n') || chr(10) || t || '<|done|>' AS segment FROM safe)
 SELECT conv_id, count(*) AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, segment)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(length('<|turn|>' || chr(10) || '<|done|>') + length(role) + length(text)
-           + length(regexp_replace(role || text, '[^<[' || chr(9243) || ']', '', 'g'))) AS BIGINT) AS formatted_chars
-FROM turns GROUP BY conv_id""",
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, segment) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(segment)) AS BIGINT) AS formatted_chars
+FROM formatted GROUP BY conv_id""",
     "op6_source_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS ord
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS ord, md5(coalesce(text, '')) AS tie
   FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 turns AS (
@@ -169,18 +181,27 @@ level AS (
   SELECT k AS k0, rest AS rest0, free AS free0 FROM numbered
   WHERE CAST(rest AS DOUBLE) * weight <= CAST(most AS DOUBLE) * free ORDER BY k LIMIT 1),
 targets AS (
-  SELECT source, source_size,
+  SELECT source, source_size, CASE (turn - 1) % 3 WHEN 0 THEN 1.5::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS start,
          CASE WHEN k < k0 THEN CAST(most AS DOUBLE) ELSE weight * CAST(rest0 AS DOUBLE) / CAST(free0 AS DOUBLE) END AS target
   FROM numbered, level),
+demand AS (SELECT sum(target * start) AS lev, sum(target * (1.0::DOUBLE - start)) AS slope FROM targets),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
-         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY ord, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + s.size / 2.0::DOUBLE AS middle
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (CASE WHEN target > 0 AND middle / target < 1 THEN 1 ELSE 0 END
-                  + CASE WHEN target > 0 AND (middle + source_size) / target < 1 THEN 1 ELSE 0 END
-                  + CASE WHEN target > 0 AND (middle + 2 * source_size) / target < 1 THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM placed""",
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.start,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY ord, s.size, s.tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + s.size / 2.0::DOUBLE AS middle
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+counted AS (
+  SELECT *, CASE WHEN target > 0 AND middle / target < 1 THEN 1 ELSE 0 END
+          + CASE WHEN target > 0 AND (middle + source_size) / target < 1 THEN 1 ELSE 0 END
+          + CASE WHEN target > 0 AND (middle + 2 * source_size) / target < 1 THEN 1 ELSE 0 END AS times
+  FROM placed),
+shares AS (SELECT *, middle / target AS first, (middle + (times - 1) * source_size) / target AS last FROM counted),
+timed AS (
+  SELECT *, CASE WHEN start = 1 THEN first ELSE (sqrt(start * start + 4 * (1 - start) * first) - start) / (2 * (1 - start)) END AS t1,
+            CASE WHEN start = 1 THEN last ELSE (sqrt(start * start + 4 * (1 - start) * last) - start) / (2 * (1 - start)) END AS t2
+  FROM (SELECT doc_id, size, source_size, target, start, times, CASE WHEN times > 0 THEN first END AS first, CASE WHEN times > 0 THEN last END AS last FROM shares))
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(size * times AS BIGINT) AS taken,
+       round(lev * t1 + slope * t1 * t1, 2) AS first_position, round(lev * t2 + slope * t2 * t2, 2) AS last_position
+FROM timed, demand""",
     "op7_exact_dedup": r"""
 WITH rows AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
