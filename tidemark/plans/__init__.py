@@ -1 +1,11 @@
+"""Queries: operators put to the tables, each with its SQL for a second engine where SQL can say it."""
 
+from importlib import import_module
+
+#: Each module registers its queries when it is imported.
+MODULES = ("catalogue", "selection", "scoring", "filters", "community")
+
+
+def register_all() -> None:
+    for name in MODULES:
+        import_module(f"{__name__}.{name}")
