@@ -187,7 +187,7 @@ def intent_label(spark, folder):
 KINDS = ["user_review", "ask_question", "news_sharing", "rant", "other"]
 INTENTS = ["share_solution", "complain", "recommend_product", "offtopic"]
 _ANALYSIS = f"""a AS (SELECT event_id AS id, [{', '.join(map(quoted, KINDS))}][user_id % 5 + 1] AS kind, CASE event_type WHEN 'click' THEN 'share_solution' WHEN 'error' THEN 'complain' WHEN 'purchase' THEN 'recommend_product' END AS intent,
-CAST(json_extract(props, '$.k') AS BIGINT) // 30 AS pains, event_type = 'signup' AS shipping, value > 50 AS tax, least(1.0::DOUBLE, value / 97) AS buys FROM events),
+CAST(json_extract(props, '$.k') AS BIGINT) // 30 AS pains, event_type = 'signup' AS shipping, value > 50 AS tax, least(1.0::DOUBLE, value / 96.7::DOUBLE) AS buys FROM events),
 b AS (SELECT *, coalesce(intent, 'offtopic') AS i FROM a)"""
 
 
@@ -203,7 +203,7 @@ def _analysis(spark, folder, weights):
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("user_id") % 5 + 1).cast("int"))
     intent = F.when(F.col("event_type") == "click", "share_solution").when(F.col("event_type") == "error", "complain").when(F.col("event_type") == "purchase", "recommend_product")
     pains = F.floor(F.get_json_object("props", "$.k").cast("long") / 30)
-    found = S.analysis_score(kind, intent, pains, F.col("event_type") == "signup", F.col("value") > 50, F.least(F.lit(1.0), F.col("value") / 97), weights)
+    found = S.analysis_score(kind, intent, pains, F.col("event_type") == "signup", F.col("value") > 50, F.least(F.lit(1.0), F.col("value") / 96.7), weights)
     return rows.select(F.col("event_id").alias("id"), found.alias("a")).select("id", "a.value", "a.opportunity", "a.pool")
 
 
