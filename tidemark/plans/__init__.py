@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Each module registers its queries when it is imported.
-MODULES = ("catalogue", "selection", "scoring", "filters", "community", "records")
+MODULES = ("catalogue", "selection", "scoring", "filters", "community", "records", "relational")
 
 
 def register_all() -> None:
