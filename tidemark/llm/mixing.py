@@ -81,8 +81,9 @@ def _by_turn(turn: Column, values: list) -> Column:
 
 
 def mix(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = 3, schedules: tuple[Ramp, ...] = SCHEDULES, docs_per_bucket: int = 20_000
-) -> DataFrame:
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_repeats: int = 3, schedules: tuple[Ramp, ...] = SCHEDULES, docs_per_bucket: int = 20_000,
+    carry: tuple[str, ...] | None = None,
+) -> DataFrame:
     """Per document of ``docs`` (doc_id, text, source): size, source_size, target, taken and ``positions``.
 
     ``positions`` has a place in training, in words of the whole mix, for each time that the mix takes the document,
@@ -93,14 +94,16 @@ def mix(
     A running sum over a source, which may hold most documents, is made in two steps: over buckets of that order, as
     many as the documents ask for, then within each bucket. Null texts have size 0; null sources are one source, null
     doc_ids ordinary documents. Repeated rows are documents of their own. An empty table gives no rows. All columns of
-    ``docs`` stay; new ones are in the struct column ``mix``, which takes the place of any column of that name.
+    ``docs`` stay, or those in ``carry``, so texts move only if they are asked for; new ones are in the struct column
+    ``mix``, which takes the place of any column of that name.
     """
     docs = docs.drop("mix")
+    kept = docs.columns if carry is None else carry
     own = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     n = docs.count()
     digits = max(1, next(d for d in range(1, 9) if 16**d * docs_per_bucket >= n))
     tie = F.md5(F.coalesce("text", F.lit("")))
-    sized = docs.select(F.struct(*docs.columns).alias("doc"), F.struct("source").alias("of"), n_words().alias("size"), own.alias("order"), tie.alias("tie"))
+    sized = docs.select(F.struct(*kept).alias("doc"), F.struct("source").alias("of"), n_words().alias("size"), own.alias("order"), tie.alias("tie"))
     sized = sized.withColumn("bucket", F.substring("order", 1, digits))
     buckets = checkpointed(sized.groupBy("of", "bucket").agg(F.sum("size").alias("words")))
     sizes = buckets.groupBy("of").agg(F.sum("words").alias("source_size")).select(F.col("of.source").alias("source"), "source_size")

@@ -68,7 +68,7 @@ def mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents by their first place in training; those that the mix doesn't take come last."""
     from tidemark.llm.mixing import mix
 
-    found = mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    found = mix(table(spark, folder, "documents"), carry=("doc_id",))
     place = lambda k: F.round(F.try_element_at("mix.positions", F.lit(k)), 2)
     found = found.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", place(1).alias("first_position"), place(-1).alias("last_position"))
     return found.orderBy(F.asc_nulls_last("first_position"), "doc_id")
