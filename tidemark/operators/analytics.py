@@ -1,6 +1,8 @@
 """Community, brand, trend and quality analytics as DataFrame operators.
 
-Every operator takes DataFrames and explicit anchors, reads no clock and is lazy. Ties are broken by key.
+Every operator takes DataFrames and explicit anchors, reads no clock and is lazy. Ties are broken by key. Null keys are
+one key; empty tables give empty results. Helper columns get names that the rows don't have; columns that an operator
+is said to add take the place of any of the same name.
 """
 
 from __future__ import annotations
@@ -9,6 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fresh(rows: DataFrame, name: str) -> str:
+    """``name``, or that with underscores behind it, so that ``rows`` has no such column."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def guarded_ratio(problems: Column, solutions: Column, empty: float | None = 0.0) -> Column:
     """problems / max(1, solutions), rounded; ``empty`` where there are neither."""
     return F.when(problems + solutions > 0, F.round(problems / F.greatest(solutions, F.lit(1)), 6)).otherwise(F.lit(empty).cast("double"))
@@ -26,8 +36,8 @@ def density(rows: DataFrame, key: str, flag: Column, name: str) -> DataFrame:
 
 def latest_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_place", F.row_number().over(w)).filter("_place = 1").drop("_place")
+    w, place = Window.partitionBy(*keys).orderBy(*order), fresh(rows, "place")
+    return rows.withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).drop(place)
 
 
 def top_per_key(rows: DataFrame, keys: list[str], n: int, *order: Column) -> DataFrame:
@@ -62,21 +72,24 @@ def interleaved(rows: DataFrame, key: str, *order: Column) -> DataFrame:
 def interleaved_in_buckets(rows: DataFrame, key: str, bucket: Column, *order: Column) -> DataFrame:
     """``interleaved`` where one key may have most rows: ``bucket`` falls along ``order``, nulls last, so turns are counted
     within each bucket and those of the buckets before are added."""
-    dealt = rows.withColumn("_bucket", bucket)
-    sizes = dealt.groupBy(F.col(key).alias("_key"), F.col("_bucket").alias("_of")).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_key").orderBy(F.desc_nulls_last("_of")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_key", "_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    turns = dealt.withColumn("_turn", F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(*order)))
-    joined = turns.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_of")))
-    return joined.select(*rows.columns, (F.col("_turn") + F.col("_before")).cast("long").alias("turn"))
+    dealt = rows.select(F.struct(*rows.columns).alias("row"), F.col(key).alias("key"), bucket.alias("bucket"), F.row_number().over(Window.partitionBy(key, bucket).orderBy(*order)).alias("place"))
+    sizes = rows.groupBy(F.col(key).alias("of_key"), bucket.alias("of_bucket")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("of_key").orderBy(F.desc_nulls_last("of_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("of_key", "of_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    joined = dealt.join(offsets, F.col("key").eqNullSafe(F.col("of_key")) & F.col("bucket").eqNullSafe(F.col("of_bucket")))
+    turn = (F.col("place") + F.col("before")).cast("long").alias("turn")
+    return joined.select(*(F.col("row")[c].alias(c) for c in rows.columns if c != "turn"), turn)
 
 
 def capped(rows: DataFrame, role: str, caps: dict[str, int], otherwise: int, *order: Column) -> DataFrame:
-    """At most so many rows of each role, the first in order."""
+    """At most so many rows of each role, the first in order, with their ``place``.
+
+    The largest cap is a filter of its own, so ranks are cut off before rows of a role go to one task.
+    """
     most = F.lit(otherwise)
     for name, n in sorted(caps.items()):
         most = F.when(F.col(role) == name, F.lit(n)).otherwise(most)
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(role).orderBy(*order)).cast("long")).filter(F.col("place") <= most)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(role).orderBy(*order))).filter(F.col("place") <= max([otherwise, *caps.values()])).filter(F.col("place") <= most).withColumn("place", F.col("place").cast("long"))
 
 
 def co_occurrence(left: DataFrame, right: DataFrame, on: str, a: str, b: str, least: int = 1) -> DataFrame:
@@ -92,14 +105,16 @@ def saturation(share: Column, high: float = 0.6, low: float = 0.2) -> Column:
 def hour_neighbours(rows: DataFrame, key: str, time: str, hours: int) -> DataFrame:
     """Pairs (a, b) of rows with one ``key`` value at most ``hours`` apart, the later as b; equal times by ``id``.
 
-    A range join as an equi join: a row meets those of its own and the next bucket of that length, no others.
+    A range join as an equi join: a row meets those of its own and the next bucket of that length, no others. All pairs
+    of a key's hour come out, as that is what is asked for. Rows without key or time have no neighbours.
     """
     span = hours * 3600
-    bucketed = rows.withColumn("_s", F.unix_timestamp(F.col(time).cast("timestamp"))).withColumn("_b", F.floor(F.col("_s") / span))
-    a = bucketed.select(F.col("id").alias("a"), F.col(key).alias("_k"), F.col("_s").alias("_sa"), F.explode(F.array("_b", F.col("_b") + 1)).alias("_m"))
-    b = bucketed.select(F.col("id").alias("b"), F.col(key).alias("_k"), F.col("_s").alias("_sb"), F.col("_b").alias("_m"))
-    near = a.join(b, ["_k", "_m"]).filter((F.col("_sb") - F.col("_sa") <= span) & ((F.col("_sb") > F.col("_sa")) | ((F.col("_sb") == F.col("_sa")) & (F.col("b") > F.col("a")))))
-    return near.select("a", "b", F.col("_k").alias(key))
+    seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
+    base = rows.select(F.col("id").alias("row_id"), F.col(key).alias("row_key"), seconds.alias("s"), F.floor(seconds / span).alias("bucket"))
+    a = base.select(F.col("row_id").alias("a"), "row_key", F.col("s").alias("sa"), F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"))
+    b = base.select(F.col("row_id").alias("b"), "row_key", F.col("s").alias("sb"), "bucket")
+    near = a.join(b, ["row_key", "bucket"]).filter((F.col("sb") - F.col("sa") <= span) & ((F.col("sb") > F.col("sa")) | ((F.col("sb") == F.col("sa")) & (F.col("b") > F.col("a")))))
+    return near.select("a", "b", F.col("row_key").alias(key))
 
 
 def as_of(events: DataFrame, snapshots: DataFrame, key: str, time: str, value: str) -> DataFrame:
@@ -107,26 +122,27 @@ def as_of(events: DataFrame, snapshots: DataFrame, key: str, time: str, value: s
 
     One sort of both sides together, no pairs.
     """
-    e = events.withColumns({"_side": F.lit(1), value: F.lit(None).cast(snapshots.schema[value].dataType)})
-    s = snapshots.select(key, time, value, F.lit(0).alias("_side"))
-    w = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    side = fresh(events, "side")
+    e = events.withColumns({side: F.lit(1), value: F.lit(None).cast(snapshots.schema[value].dataType)})
+    s = snapshots.select(key, time, value, F.lit(0).alias(side))
+    w = Window.partitionBy(key).orderBy(time, side).rowsBetween(Window.unboundedPreceding, 0)
     both = e.unionByName(s, allowMissingColumns=True)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("_side = 1").drop("_side")
+    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter(F.col(side) == 1).drop(side)
 
 
 def scd2(versions: DataFrame, keys: list[str], time: str, *values: str) -> DataFrame:
     """History rows of changed values: version from 1, valid_from, valid_to (open: year 9999), is_current."""
     w = Window.partitionBy(*keys).orderBy(time)
-    now = F.struct(*values)
-    changed = versions.withColumn("_was", F.lag(now).over(w)).filter(F.col("_was").isNull() | (F.col("_was") != now))
+    now, was = F.struct(*values), fresh(versions, "was")
+    changed = versions.withColumn(was, F.lag(now).over(w)).filter(F.col(was).isNull() | (F.col(was) != now))
     end = F.lead(time).over(w)
     return changed.select(*keys, *values, F.row_number().over(w).alias("version"), F.col(time).alias("valid_from"), F.coalesce(end, F.lit("9999-12-31").cast(versions.schema[time].dataType)).alias("valid_to"), end.isNull().alias("is_current"))
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], keep_old_nonnull: bool = True) -> DataFrame:
     """Merge of two tables of one shape: new rows win, a new null leaves the old value where ``keep_old_nonnull``."""
-    values = [c for c in old.columns if c not in keys]
-    a, b = old.alias("a"), new.withColumn("_new", F.lit(True)).alias("b")
-    joined = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full")
-    pick = lambda c: F.coalesce(f"b.{c}", f"a.{c}") if keep_old_nonnull else F.when(F.col("b._new"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
-    return joined.select(*(F.coalesce(f"b.{k}", f"a.{k}").alias(k) for k in keys), *(pick(c).alias(c) for c in values))
+    a, b = old.select(F.struct(*old.columns).alias("a")), new.select(F.struct(*new.columns).alias("b"))
+    joined = a.join(b, [F.col("a")[k].eqNullSafe(F.col("b")[k]) for k in keys], "full")
+    x, y = F.col("a"), F.col("b")
+    pick = lambda c: F.coalesce(y[c], x[c]) if keep_old_nonnull or c in keys else F.when(y.isNotNull(), y[c]).otherwise(x[c])
+    return joined.select(*(pick(c).alias(c) for c in old.columns))

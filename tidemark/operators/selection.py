@@ -1,19 +1,31 @@
-"""Quotas, evaluation, streaks and term statistics as DataFrame operators. Ties are broken by key; no clock is read."""
+"""Quotas, evaluation, streaks and term statistics as DataFrame operators.
+
+Ties are broken by key; no clock is read. Empty tables give empty results. Columns that an operator adds take the place
+of any of the same name; helper columns get names that the rows don't have.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.analytics import fresh
+
 
 def largest_remainder(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """Deals ``total`` out in proportion to ``n``: whole parts first, the rest to the largest remainders. One row per key."""
+    """Deals ``total`` out in proportion to ``n``, as ``quota``: whole parts first, the rest to the largest remainders.
+
+    One row per key goes through one task. Without any count, or with a null one, quotas are 0.
+    """
     everyone = Window.partitionBy(F.lit(1))
-    exact = counts.withColumn("_part", F.col(n) * total).withColumn("_sum", F.sum(n).over(everyone))
-    exact = exact.withColumn("quota", F.floor(F.expr(f"_part div _sum")).cast("long")).withColumn("_rest", F.expr("_part % _sum"))
-    left = F.lit(total) - F.sum("quota").over(everyone)
-    place = F.row_number().over(everyone.orderBy(F.desc("_rest"), key))
-    return exact.withColumn("_left", left).withColumn("quota", F.col("quota") + F.when(place <= F.col("_left"), 1).otherwise(0)).drop("_part", "_sum", "_rest", "_left")
+    rows = counts.select(F.struct(*counts.columns).alias("row"), F.coalesce(F.col(n), F.lit(0)).alias("n"), F.col(key).alias("key")).withColumn("sum", F.sum("n").over(everyone))
+    whole, rest = F.expr(f"if(sum = 0, 0, (n * {total}) div sum)"), F.expr(f"if(sum = 0, 0, (n * {total}) % sum)")
+    rows = rows.withColumns({"whole": whole, "rest": rest})
+    left = F.lit(total) - F.sum("whole").over(everyone)
+    place = F.row_number().over(everyone.orderBy(F.desc("rest"), "key"))
+    rows = rows.withColumns({"left": left, "place": place})
+    quota = F.when(F.col("sum") == 0, 0).otherwise(F.col("whole") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).cast("long")
+    return rows.select(*(F.col("row")[c].alias(c) for c in counts.columns if c != "quota"), quota.alias("quota"))
 
 
 def sample_by_hash(rows: DataFrame, stratum: str, n: int, key: str) -> DataFrame:
@@ -48,15 +60,19 @@ def precision_at(scored: DataFrame, key: str, score: str, label: str, k: int) ->
 
 def streaks(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     """Runs of equal values within a key: ``value``, ``streak`` (from 1) and ``n``."""
-    w = Window.partitionBy(key).orderBy(*order)
-    fresh = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1)
-    numbered = rows.withColumn("_fresh", fresh).withColumn("streak", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    w, first = Window.partitionBy(key).orderBy(*order), fresh(rows, "first")
+    begins = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1)
+    numbered = rows.withColumn(first, begins).withColumn("streak", F.sum(first).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(key, "streak").agg(F.first(value).alias(value), F.count("*").alias("n"))
 
 
-def tf_idf(tokens: DataFrame, doc: str, token: str, n_docs: Column) -> DataFrame:
-    """``doc``, ``token``, ``tf`` and ``weight`` = tf * (ln((1 + n) / (1 + df)) + 1), from a row per occurrence."""
+def tf_idf(tokens: DataFrame, doc: str, token: str, docs: DataFrame) -> DataFrame:
+    """``doc``, ``token``, ``tf`` and ``weight`` = tf * (ln((1 + n) / (1 + df)) + 1), from a row per occurrence.
+
+    n is the number of rows of ``docs``, one row of its own that is sent to the others.
+    """
     tf = tokens.groupBy(doc, token).agg(F.count("*").alias("tf"))
     df = tf.groupBy(token).agg(F.count("*").alias("df"))
-    idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1
-    return tf.join(df, token).select(doc, token, "tf", F.round(F.col("tf") * idf, 6).alias("weight"))
+    idf = F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1
+    both = tf.join(df, token).join(F.broadcast(docs.agg(F.count("*").alias("n_docs"))))
+    return both.select(doc, token, "tf", F.round(F.col("tf") * idf, 6).alias("weight"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import analytics as A
+from tidemark.operators import relational as R
 from tidemark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,7 +114,7 @@ def bool_or_toxic(spark, folder):
     "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
 )
 def percentiles(spark, folder):
-    return table(spark, folder, "events").groupBy("event_type").agg(*(F.round(F.percentile("value", p), 6).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"))))
+    return R.percentiles_by_rank(table(spark, folder, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95}, {})
 
 
 @register(
@@ -201,20 +202,12 @@ def topk_brands(spark, folder):
     return rows.groupBy("p_brand").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_brand").limit(10)
 
 
-@register(
-    "interleave_by_type",
-    "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS turn FROM events QUALIFY turn <= 20",
-)
-def interleave(spark, folder):
-    rows = table(spark, folder, "events").select("event_id", "event_type", "value")
-    return A.interleaved(rows, "event_type", F.desc("value"), F.asc("event_id")).filter("turn <= 20").drop("value")
+INTERLEAVED = "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS turn FROM events"
 
 
-@register(
-    "interleave_all_by_type",
-    "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS turn FROM events",
-)
-def interleave_all(spark, folder):
+@register("interleave_all_by_type", INTERLEAVED)
+@register("interleave_by_type", INTERLEAVED)
+def interleave(spark, folder):
     rows = table(spark, folder, "events").select("event_id", "event_type", "value")
     return A.interleaved_in_buckets(rows, "event_type", F.floor("value"), F.desc("value"), F.asc("event_id")).drop("value")
 
@@ -260,10 +253,10 @@ def keyword_any(spark, folder):
 
 @register(
     "term_occurrences",
-    "SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'tion', ''))) // 4 AS BIGINT) AS n FROM documents WHERE lang = 'en'",
+    "SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'tion', ''))) // 4 AS BIGINT) AS n FROM documents",
 )
-def term_occurrences(spark, folder, only="lang = 'en'"):
-    return table(spark, folder, "documents").filter(only).select("doc_id", X.occurrences(F.col("text"), "tion").cast("long").alias("n"))
+def term_occurrences(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", X.occurrences(F.col("text"), "tion").cast("long").alias("n"))
 
 
 @register(
@@ -279,10 +272,10 @@ def top_tokens(spark, folder):
 @register(
     "sentence_stats",
     r"""SELECT doc_id, count(*) AS sentences, CAST(max(length(s)) AS BIGINT) AS longest FROM (
-SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.!?\n]+'))) AS s FROM documents WHERE lang = 'en') WHERE s <> '' GROUP BY doc_id""",
+SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.!?\n]+'))) AS s FROM documents) WHERE s <> '' GROUP BY doc_id""",
 )
-def sentence_stats(spark, folder, only="lang = 'en'"):
-    rows = table(spark, folder, "documents").filter(only).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
+def sentence_stats(spark, folder):
+    rows = table(spark, folder, "documents").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max(F.length("s")).cast("long").alias("longest"))
 
 
@@ -293,8 +286,8 @@ FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = (SELECT min(
 )
 def cosine_topk(spark, folder):
     vectors = table(spark, folder, "embeddings")
-    query = vectors.orderBy("vec_id").first()["embedding"]  # one vector, a constant in the plan
-    scored = vectors.select("vec_id", "label", F.round(X.cosine(F.col("embedding"), F.array(*map(F.lit, query))), 4).alias("score"))
+    query = vectors.agg(F.min_by("embedding", "vec_id").alias("q"))
+    scored = vectors.join(F.broadcast(query)).select("vec_id", "label", F.round(X.cosine(F.col("embedding"), F.col("q")), 4).alias("score"))
     return scored.orderBy(F.desc("score"), "vec_id").limit(25)
 
 
@@ -345,25 +338,13 @@ def scd2_history(spark, folder):
     return found.select("user_id", "event_type", "version", F.unix_micros(F.col("valid_from").cast("timestamp")).alias("valid_from"), "is_current")
 
 
-@register(
-    "upsert_keeps_old_nonnull",
-    """WITH o AS (SELECT user_id, max(value) AS top, min(event_type) AS kind FROM events WHERE event_id % 2 = 0 GROUP BY 1),
-n AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE max(value) END AS top, min(event_type) AS kind FROM events WHERE event_id % 5 = 0 GROUP BY 1)
-SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.top, o.top) AS top, coalesce(n.kind, o.kind) AS kind FROM o FULL JOIN n ON o.user_id = n.user_id""",
-)
-def upsert(spark, folder):
-    events = table(spark, folder, "events")
-    per_user = lambda k: events.filter(F.col("event_id") % k == 0).groupBy("user_id").agg(F.max("value").alias("top"), F.min("event_type").alias("kind"))
-    new = per_user(5).withColumn("top", F.when(F.col("user_id") % 3 != 0, F.col("top")))
-    return A.upserted(per_user(2), new, ["user_id"])
+UPSERTED = """WITH o AS (SELECT user_id, max(value) AS top, min(event_type) AS kind FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
+n AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE max(value) END AS top, min(event_type) AS kind FROM events WHERE (ts < TIMESTAMP '2024-01-16') IS NOT TRUE GROUP BY 1)
+SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.top, o.top) AS top, coalesce(n.kind, o.kind) AS kind FROM o FULL JOIN n ON o.user_id IS NOT DISTINCT FROM n.user_id"""
 
 
-@register(
-    "upsert_later_over_earlier",
-    """WITH o AS (SELECT user_id, max(value) AS top, min(event_type) AS kind FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
-n AS (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN NULL ELSE max(value) END AS top, min(event_type) AS kind FROM events WHERE (ts < TIMESTAMP '2024-01-16') IS NOT TRUE GROUP BY 1)
-SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.top, o.top) AS top, coalesce(n.kind, o.kind) AS kind FROM o FULL JOIN n ON o.user_id IS NOT DISTINCT FROM n.user_id""",
-)
+@register("upsert_later_over_earlier", UPSERTED)
+@register("upsert_keeps_old_nonnull", UPSERTED)
 def upsert_by_time(spark, folder):
     events = table(spark, folder, "events")
     early = F.expr("coalesce(ts < timestamp_ntz'2024-01-16', false)")
@@ -372,13 +353,10 @@ def upsert_by_time(spark, folder):
     return A.upserted(per_user(early), new, ["user_id"])
 
 
-@register(
-    "rollup_lang_source",
-    "SELECT coalesce(lang, '*') AS lang, coalesce(source, '*') AS source, count(*) AS n FROM documents GROUP BY ROLLUP (lang, source)",
-)
+@register("rollup_lang_source", "SELECT lang, source, count(*) AS n, grouping_id(lang, source) AS level FROM documents GROUP BY ROLLUP (lang, source)")
 def rollup(spark, folder):
-    rows = table(spark, folder, "documents").rollup("lang", "source").agg(F.count("*").alias("n"))
-    return rows.na.fill("*", ["lang", "source"])
+    """``level`` tells a subtotal from a key that is null."""
+    return table(spark, folder, "documents").rollup("lang", "source").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
 
 
 @register("except_and_intersect", "SELECT c_nationkey AS k, 'both' AS side FROM customer INTERSECT SELECT s_nationkey, 'both' FROM supplier UNION ALL (SELECT n_nationkey, 'none' FROM nation EXCEPT SELECT c_nationkey, 'none' FROM customer)")
@@ -410,11 +388,11 @@ def nulls_first(spark, folder):
 
 @register(
     "saturation_by_source",
-    """SELECT source, round(share, 6) AS share, CASE WHEN share >= 0.6 THEN 'high' WHEN share >= 0.2 THEN 'medium' ELSE 'low' END AS class
-FROM (SELECT source, avg(CASE WHEN contains(lower(text), 'tion') THEN 1.0 ELSE 0.0 END) AS share FROM documents GROUP BY source)""",
+    r"""SELECT source, round(share, 6) AS share, CASE WHEN share >= 0.6 THEN 'high' WHEN share >= 0.2 THEN 'medium' ELSE 'low' END AS class
+FROM (SELECT source, avg(CASE WHEN regexp_matches(lower(text), '\b(orantion|hehely|inoran|ononst|thatin)\b') THEN 1.0 ELSE 0.0 END) AS share FROM documents GROUP BY source)""",
 )
 def saturation(spark, folder):
-    rows = table(spark, folder, "documents").groupBy("source").agg(F.avg(F.lower("text").contains("tion").cast("int")).alias("s"))
+    rows = table(spark, folder, "documents").groupBy("source").agg(F.avg(F.coalesce(X.mentions(F.col("text"), TERMS), F.lit(False)).cast("int")).alias("s"))
     return rows.select("source", F.round("s", 6).alias("share"), A.saturation(F.col("s")).alias("class"))
 
 

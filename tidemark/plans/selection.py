@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -70,24 +68,26 @@ def type_streaks(spark, folder):
 
 @register(
     "tf_idf_keywords",
-    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{5,}')) AS token FROM documents WHERE lang = 'en'),
-tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents WHERE lang = 'en')
+    """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{5,}')) AS token FROM documents),
+tf AS (SELECT doc_id, token, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents)
 SELECT doc_id, token, tf, weight, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, token) AS place FROM
 (SELECT doc_id, token, tf, round(tf * (ln((n + 1) / (df + 1)) + 1), 6) AS weight FROM tf JOIN df USING (token), n)) WHERE place <= 3""",
 )
-def tf_idf_keywords(spark, folder, only="lang = 'en'"):
-    docs = table(spark, folder, "documents").filter(only)
+def tf_idf_keywords(spark, folder):
+    docs = table(spark, folder, "documents")
     tokens = docs.select("doc_id", F.explode(X.tokens(F.col("text"), 5)).alias("token"))
-    return A.top_per_key(S.tf_idf(tokens, "doc_id", "token", F.lit(docs.count())), ["doc_id"], 3, F.desc("weight"), F.asc("token"))
+    return A.top_per_key(S.tf_idf(tokens, "doc_id", "token", docs.select("doc_id")), ["doc_id"], 3, F.desc("weight"), F.asc("token"))
 
 
+#: Engines differ on where words with other letters end, so here they end at any character but ASCII letters, digits and _.
 @register(
     "capitalised_terms",
     r"""SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs, round(0.4 + 0.35 * least(1.0, count(*) / 10), 6) AS confidence FROM
-(SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]{3,}\b')) AS term FROM documents WHERE lang = 'en') GROUP BY term HAVING count(*) >= 3""",
+(SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS term FROM documents) WHERE regexp_full_match(term, '[A-Z][a-z]{3,}') GROUP BY term HAVING count(*) >= 3""",
 )
-def capitalised_terms(spark, folder, only="lang = 'en'", pattern=r"\b[A-Z][a-z]{3,}\b"):
-    rows = table(spark, folder, "documents").filter(only).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("term"))
+def capitalised_terms(spark, folder):
+    pattern = r"(?<![A-Za-z0-9_])[A-Z][a-z]{3,}(?![A-Za-z0-9_])"
+    rows = table(spark, folder, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("term"))
     found = rows.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).filter("n >= 3")
     return found.withColumn("confidence", F.round(0.4 + 0.35 * F.least(F.lit(1.0), F.col("n") / 10), 6))
 
@@ -95,26 +95,16 @@ def capitalised_terms(spark, folder, only="lang = 'en'", pattern=r"\b[A-Z][a-z]{
 @register(
     "longest_quote",
     r"""SELECT doc_id, quote FROM (SELECT doc_id, s AS quote, row_number() OVER (PARTITION BY doc_id ORDER BY length(s) DESC, s) AS k FROM
-(SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.!?\n]+'))) AS s FROM documents WHERE lang = 'en') WHERE length(s) BETWEEN 50 AND 150) WHERE k = 1""",
+(SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.!?\n]+'))) AS s FROM documents) WHERE length(s) BETWEEN 50 AND 150) WHERE k = 1""",
 )
-def longest_quote(spark, folder, only="lang = 'en'"):
-    rows = table(spark, folder, "documents").filter(only).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("quote")).filter(F.length("quote").between(50, 150))
+def longest_quote(spark, folder):
+    rows = table(spark, folder, "documents").select("doc_id", F.explode(X.sentences(F.col("text"))).alias("quote")).filter(F.length("quote").between(50, 150))
     return A.latest_per_key(rows, ["doc_id"], F.desc(F.length("quote")), F.asc("quote"))
 
 
-def _all_languages(query, sql: str | None = None, **more):
-    """The query over documents of every language, beside that over English ones."""
-    name = query.__name__
-    register(f"{name}_all_languages", sql or ORACLE_SQL[name].replace(" WHERE lang = 'en'", ""))(partial(query, only="true", **more))
-
-
-#: Engines differ on where words with other letters end, so here they end at any character but ASCII letters, digits and _.
-ASCII_TERMS = r"""SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs, round(0.4 + 0.35 * least(1.0, count(*) / 10), 6) AS confidence FROM
-(SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS term FROM documents) WHERE regexp_full_match(term, '[A-Z][a-z]{3,}') GROUP BY term HAVING count(*) >= 3"""
-
-for _query in (tf_idf_keywords, longest_quote, term_occurrences, sentence_stats):
-    _all_languages(_query)
-_all_languages(capitalised_terms, ASCII_TERMS, pattern=r"(?<![A-Za-z0-9_])[A-Z][a-z]{3,}(?![A-Za-z0-9_])")
+#: Second names of queries that once read English documents only.
+for _query in (tf_idf_keywords, capitalised_terms, longest_quote, term_occurrences, sentence_stats):
+    register(f"{_query.__name__}_all_languages", ORACLE_SQL[_query.__name__])(_query)
 
 
 @register(
