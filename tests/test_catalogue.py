@@ -1,5 +1,9 @@
 """Every registered query against its SQL on a second engine, over the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -26,13 +30,18 @@ def rows(columns, values):
     return sorted(columns), sorted(repr([plain(r[i]) for i in order]) for r in values)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_query(spark, other, name):
     found = catalogue.QUERIES[name](spark, FOLDER)
     want = other.execute(catalogue.ORACLE_SQL[name])
     assert rows(found.columns, [tuple(r) for r in found.collect()]) == rows([c[0] for c in want.description], want.fetchall())
 
 
+def test_entry_is_imported_without_a_session():
+    code = "import __spark_entry__ as e; from pyspark import SparkContext; assert SparkContext._active_spark_context is None and len(e.queries()) >= len(e.oracle_sql()) > 200"
+    subprocess.run([sys.executable, "-W", "ignore", "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+
+
 def test_entry_and_names(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())

@@ -12,7 +12,10 @@ from tidemark.plans.posts import MENTIONS, POSTS, mentions, order_posts, posts,
 from tidemark.session import table
 
 DAY = "2024-01-31"
-NOW = F.lit(DAY).cast("date")
+
+
+def _now():
+    return F.lit(DAY).cast("date")
 
 
 @register("removal_ratio", "SELECT community, round(avg(CASE WHEN status = 'F' THEN 1.0 ELSE 0.0 END), 6) AS removal_ratio, CAST(round((1 - avg(CASE WHEN status = 'F' THEN 1.0 ELSE 0.0 END)) * 100) AS BIGINT) AS friendliness FROM (WITH " + MENTIONS + " SELECT * FROM order_posts) GROUP BY community")
@@ -33,7 +36,7 @@ GROWTH = f"""SELECT event_type, count(*) FILTER (WHERE age BETWEEN 0 AND 6) AS r
 
 @register("growth_by_window", f"SELECT event_type, recent, previous, CASE WHEN previous > 0 THEN round(recent / previous, 6) WHEN recent > 0 THEN 1.0 ELSE 0.0 END AS growth FROM ({GROWTH})")
 def growth_by_window(spark, folder):
-    return C.growth_by_window(table(spark, folder, "events"), "event_type", "ts", NOW)
+    return C.growth_by_window(table(spark, folder, "events"), "event_type", "ts", _now())
 
 
 @register(
@@ -42,7 +45,7 @@ def growth_by_window(spark, folder):
 FROM (SELECT user_id, date_diff('day', CAST(ts AS DATE), DATE '{DAY}') AS age FROM events) GROUP BY user_id)""",
 )
 def growth_week_over_month(spark, folder):
-    return C.growth_week_over_month(table(spark, folder, "events"), "user_id", "ts", NOW)
+    return C.growth_week_over_month(table(spark, folder, "events"), "user_id", "ts", _now())
 
 
 WORDS = r"list_filter(regexp_split_to_array(lower(title), '[ \t\n\r]+'), lambda w: w <> '')"
@@ -70,8 +73,8 @@ TREND = f"""SELECT event_type, d, coalesce(n, 0) AS n, coalesce(p, 0) AS p FROM
 @register("daily_trend", f"SELECT event_type, array_to_string(list(CAST(n AS BIGINT) ORDER BY d DESC), ',') AS trend, array_to_string(list(CAST(round(p * 1000000) AS BIGINT) ORDER BY d DESC), ',') AS density FROM ({TREND}) GROUP BY event_type")
 def daily_trend(spark, folder):
     events = table(spark, folder, "events")
-    counts = C.daily_trend(events, "event_type", "ts", NOW, 7)
-    dense = C.daily_trend(events, "event_type", "ts", NOW, 7, F.col("value") > 40).withColumnRenamed("trend", "dense")
+    counts = C.daily_trend(events, "event_type", "ts", _now(), 7)
+    dense = C.daily_trend(events, "event_type", "ts", _now(), 7, F.col("value") > 40).withColumnRenamed("trend", "dense")
     listed = lambda c, k: F.array_join(F.transform(c, lambda x: F.round(x * k).cast("long").cast("string")), ",")
     return counts.join(dense, "event_type").select("event_type", listed("trend", 1).alias("trend"), listed("dense", 1_000_000).alias("density"))
 
@@ -83,7 +86,7 @@ SELECT event_type, mean_p > 0 AND last_p >= 1.05::DOUBLE * mean_p AS surge, roun
 )
 def crawl_priority(spark, folder):
     events = table(spark, folder, "events")
-    counts, dense = C.daily_trend(events, "event_type", "ts", NOW, 7), C.daily_trend(events, "event_type", "ts", NOW, 7, F.col("value") > 40).withColumnRenamed("trend", "dense")
+    counts, dense = C.daily_trend(events, "event_type", "ts", _now(), 7), C.daily_trend(events, "event_type", "ts", _now(), 7, F.col("value") > 40).withColumnRenamed("trend", "dense")
     mean = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x) / 7
     rows = counts.join(dense, "event_type").select("event_type", C.has_surge(F.col("dense"), 1.05).alias("surge"), mean("trend").alias("n"), mean("dense").alias("p"))
     return rows.select("event_type", "surge", C.crawl_priority(F.col("n"), F.col("p"), F.col("surge")).alias("priority"))
@@ -113,7 +116,7 @@ def _metrics(spark, folder):
         known(F.col("quality") == 1).alias("solution"), (F.col("quality").isNotNull() | (F.col("user_id") % 3 == 0)).alias("labelled"), (F.col("user_id") % 2).alias("brands"), (F.col("value") > 40).alias("feature"),
     )
     c = events.filter("value > 10").select(F.col("event_type").alias("community"), "ts")
-    return C.community_metrics(p, c, 30, NOW)
+    return C.community_metrics(p, c, 30, _now())
 
 
 @register("community_metrics", f"WITH {METRICS} SELECT * FROM m")

@@ -58,13 +58,13 @@ def shallow_comments(spark, folder):
     return V.shallow_comments(rows, 2, 2, 1, 1)
 
 
-_DAILY = "d AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS valid, round(avg(CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END), 6) AS hit_rate, round(1 - count(DISTINCT user_id) / count(*), 6) AS repeats, round(avg(value), 6) AS mean FROM events GROUP BY 1)"
+_DAILY = "d AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS valid, round(avg(CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END), 6) AS hit_rate, round(1 - count(DISTINCT user_id) / count(*), 6) AS repeats, round(avg(value), 9) AS mean FROM events GROUP BY 1)"
 
 
 def _daily(spark, folder):
     day = F.to_date("ts").cast("string").alias("day")
     return table(spark, folder, "events").groupBy(day).agg(
-        F.count("*").alias("valid"), F.round(F.avg((F.col("event_type") != "error").cast("int")), 6).alias("hit_rate"), F.round(1 - F.countDistinct("user_id") / F.count("*"), 6).alias("repeats"), F.round(F.avg("value"), 6).alias("mean")
+        F.count("*").alias("valid"), F.round(F.avg((F.col("event_type") != "error").cast("int")), 6).alias("hit_rate"), F.round(1 - F.countDistinct("user_id") / F.count("*"), 6).alias("repeats"), F.round(F.avg("value"), 9).alias("mean")
     )
 
 

@@ -69,12 +69,12 @@ def category_shapes(spark, folder):
     return rows.withColumn("raw", raw).select("doc_id", "k", F.array_join(keys, ",").alias("keys"))
 
 
-@register("vector_literals", "SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 3) AS total FROM embeddings")
+@register("vector_literals", "SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 3) + 0.0::DOUBLE AS total FROM embeddings")
 def vector_literals(spark, folder):
     """Vectors written as text and read again."""
     text = table(spark, folder, "embeddings").select("vec_id", F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: x.cast("string")), ","), F.lit("]")).alias("text"))
     read = text.select("vec_id", F.from_json("text", "array<float>").alias("v"))
-    return read.select("vec_id", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 3).alias("total"))
+    return read.select("vec_id", F.size("v").cast("long").alias("n"), (F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 3) + 0.0).alias("total"))
 
 
 @register("name_keys", "SELECT n_name, lower(trim(n_name)) AS key, 'r/' || lower(trim(n_name)) AS slug, regexp_replace(lower('R/' || n_name), '^r/', '') AS stripped FROM nation")
