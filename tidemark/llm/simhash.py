@@ -177,9 +177,9 @@ def near_duplicates(docs: DataFrame, most_bits: int = 3) -> DataFrame:
     root = components(links)
     best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("uid").alias("row")))
     by_print = prints.groupBy("fp").agg(best.alias("best"), F.count("*").alias("n"))
-    joined = by_print.join(root, by_print["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "best", "n")
-    groups = joined.groupBy("root").agg(F.min("best").alias("best"))
-    of_print = checkpointed(joined.select("fp", "root", "n").join(groups, "root").select("fp", "best", "n"))
+    joined = checkpointed(by_print.join(root, by_print["fp"] == root["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), F.col("best").alias("own"), "n"))
+    groups = checkpointed(joined.groupBy("root").agg(F.min("own").alias("best"), F.count("*").alias("members")))
+    of_print = checkpointed(join_groups(joined, groups, "root", "members").select("fp", "best", "n"))
     return join_groups(prints, of_print, "fp", "n").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("best.id").alias("component_id"), (F.col("uid") == F.col("best.row")).alias("first"), "text_hash"
     )
