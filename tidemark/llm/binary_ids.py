@@ -173,6 +173,6 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     found = checkpointed(content.mapInArrow(_documents, "file string, doc_id long, start long, n_tokens long, ids_crc32 long"))
     number = lambda pattern: F.regexp_extract("file", pattern, 1).cast("long")
     sums = found.groupBy("file").agg(F.sum("n_tokens").alias("tokens"))
-    before = Window.orderBy(number(r"part-(\d+)-[^/]*$"), number(r"-c(\d+)[^/]*$")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(number(r"part-(\d+)-[^/]*$"), number(r"-c(\d+)[^/-]*$")).rowsBetween(Window.unboundedPreceding, -1)
     first = sums.select("file", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("first"))
     return found.join(first, "file").select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "file")
