@@ -66,6 +66,37 @@ def test_packing(both, texts, empty):
     assert packing.pack_documents(empty, queries.tokenizer_file(queries.WORD_BPE)).count() == 0
 
 
+def test_packing_is_as_good_as_plain_best_fit(both, texts):
+    lengths = []
+    for _, text in texts:
+        n = len(ids_of(queries.WORD_BPE, text or "")) + 1
+        lengths += [min(4096, n - at) for at in range(0, n, 4096)]
+    plain = max(b for b, _ in packing.best_fit(sorted(lengths, reverse=True), 4096)) + 1
+    found = packing.pack_documents(both, queries.tokenizer_file(queries.WORD_BPE)).select("sequence_id").distinct().count()
+    assert found <= plain + 1
+
+
+def test_clashing_names_with_rows(spark, odd, odd_rows):
+    """Every operator gives the same rows whatever other columns there are."""
+    from tidemark.llm import licenses, secrets
+
+    plain = spark.createDataFrame(odd_rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = lambda frame: Counter(map(repr, (r[:] for r in frame.collect())))
+    field = secrets.fit(["some plain words stand here for once"])
+    labels = spark.createDataFrame([(10_009, 1), (None, 1)], "doc_id long, quality int")
+    runs = {
+        "licenses": lambda d: licenses.scan_licenses(d).select("doc_id", "n_matches", "licenses"),
+        "packing": lambda d: packing.pack_documents(d, queries.tokenizer_file(queries.WORD_BPE)).select("doc_id", "piece", "start", "length", "ids_crc32"),
+        "mixing": lambda d: mixing.mix(d).select("doc_id", "mix.size", "mix.source_size", "mix.target"),
+        "exact": lambda d: exact_dedup.dedup_exact(d).select("doc_id", "keep_id", "group_size", "text_sha256"),
+        "secrets": lambda d: secrets.scan_secrets(d, field),
+        "simhash": lambda d: simhash.near_duplicates(d).select("doc_id", "fingerprint", "component_id"),
+        "quality": lambda d: quality.quality(d, labels).select("doc.doc_id", "n_words", "n_repeat_words", "base_failed"),
+    }
+    for name, run in runs.items():
+        assert rows(run(odd)) == rows(run(plain)), name
+
+
 def test_best_fit_takes_the_smallest_rest():
     assert packing.best_fit([6, 5, 4, 3, 1], 10) == [(0, 0), (1, 0), (0, 6), (1, 5), (1, 8)]
 
@@ -77,7 +108,7 @@ def test_bit_packing_round_trip(bits):
     assert len(data) == -(-len(ids) * bits // 8) and (binary_ids.unpack_bits(data, bits, len(ids)) == ids).all()
 
 
-def test_token_files(spark, both, texts, empty, monkeypatch):
+def test_token_files(spark, both, odd, texts, empty):
     path = scratch(spark, "test-tokens")
     binary_ids.write_token_files(both, path, queries.tokenizer_file(queries.BYTE_BPE), queries.BYTE_BPE_SIZE, part_chars=60_000, file_ids=9_000)
     found = binary_ids.read_token_files(spark, path).collect()
@@ -99,6 +130,9 @@ def test_token_files(spark, both, texts, empty, monkeypatch):
         assert (file.ids(start, count) == everything[start : start + count]).all()
     with pytest.raises(Exception, match="more than 12 bits"):
         binary_ids.write_token_files(both, scratch(spark, "test-tokens"), queries.tokenizer_file(queries.BYTE_BPE), 4096)
+    clashing = scratch(spark, "test-tokens")
+    binary_ids.write_token_files(odd, clashing, queries.tokenizer_file(queries.BYTE_BPE), queries.BYTE_BPE_SIZE)
+    assert binary_ids.read_token_files(spark, clashing).count() == odd.count()
     none = scratch(spark, "test-tokens")
     binary_ids.write_token_files(empty, none, queries.tokenizer_file(queries.BYTE_BPE), queries.BYTE_BPE_SIZE)
     assert binary_ids.read_token_files(spark, none).count() == 0
@@ -106,7 +140,7 @@ def test_token_files(spark, both, texts, empty, monkeypatch):
 
 def test_token_files_follow_each_other_by_number(spark, monkeypatch):
     """Names of more than 99,999 partitions don't sort as strings."""
-    names = ["part-100000-a-c000.txt", "part-10001-a-c010.txt", "part-10001-a-c1001.txt", "part-00002-a-c000.txt"]
+    names = ["part-100000-5e-c9-c000.txt", "part-10001-5e-c9-c010.txt", "part-10001-5e-c9-c1001.txt", "part-00002-5e-c9-c000.txt"]
     rows = [(f"file:/x/{n}", b"") for n in names]
     monkeypatch.setattr(binary_ids, "read_raw", lambda *_: spark.createDataFrame(rows, "path string, content binary"))
 

@@ -56,3 +56,20 @@ def test_rows(spark, documents):
             assert offset == ends
             ends += length
         assert ends <= 4096
+
+
+def test_stages_on_odd_rows(spark, odd, documents):
+    """Null, empty, very long and repeated rows, and columns with clashing names, go through every stage; so does an empty table."""
+    docs = odd.unionByName(documents.limit(40), allowMissingColumns=True).union(odd.unionByName(documents.limit(0), allowMissingColumns=True))
+    for frame, some in ((docs, True), (docs.limit(0), False)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            rows = stage(spark, frame.drop(*(["doc"] if k == 0 else [])), FOLDER)
+            frame = rows.checkpoint() if name != "best-fit packing" else rows
+            if name != "best-fit packing":
+                assert frame.columns == list(corpus_pipeline.COLUMNS), name
+        assert (frame.count() > 0) is some
+    longest = spark.createDataFrame([(1, "word " * 400_000, "en", "s", 1), (2, None, None, None, None)], documents.schema)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        longest = stage(spark, longest, FOLDER)
+        longest = longest.checkpoint()
+    assert longest.agg({"length": "sum"}).first()[0] >= 400_000
