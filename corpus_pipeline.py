@@ -1,7 +1,9 @@
 """The training-data pipeline: quality rules, exact dedup, SimHash near-dedup, mixing to weights, best-fit packing.
 
 Every stage takes all that its predecessor kept, is written as Parquet and read again, and all but the last return
-the columns of ``documents``.
+the columns of ``documents``. Other columns of its input are left out. Null texts are empty ones, null ids, sources and
+languages stay, repeated rows are rows of their own until exact dedup leaves one of them; an empty table gives an empty
+one from every stage.
 """
 
 from __future__ import annotations
@@ -16,17 +18,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules or score below the threshold go."""
+    """Documents that fail the rules or score below the threshold go, so those with a null or empty text do."""
     return quality.quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).filter("kept").select("doc.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays."""
+    """Of equal texts one row stays, the longest, then that with the smallest doc_id (null last); null and empty texts are equal."""
     return _kept(docs, exact_dedup.dedup_exact(docs.select("doc_id", "text")).filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies one row stays, that with the smallest doc_id."""
+    """Of each group of near copies one row stays, that with the smallest doc_id (null last)."""
     return _kept(docs, simhash.near_duplicates(docs.select("doc_id", "text")).filter("first"))
 
 
@@ -40,12 +42,12 @@ def _kept(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, in training order."""
+    """A row for each time that the mix takes a document, range-sorted by training position. Documents without words take no room."""
     return mixing.in_training_order(mixing.mix(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each taken document's pieces with their sequences and offsets."""
+    """Each taken document's pieces with their sequences and offsets; a null text is a piece of one token."""
     return packing.pack_documents(docs, queries.tokenizer_file(queries.WORD_BPE))
 
 
@@ -71,9 +73,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's files are removed when the next one's are written."""
+    docs, last = table(spark, sf_dir, "documents"), ""
     for k, (_, stage) in enumerate(STAGES):
         path = shared.scratch(spark, f"pipeline-{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if k:
+            shared.remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
