@@ -106,6 +106,12 @@ def quality(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def clustering(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.clustering import clusters
+
+    return clusters(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": warc,
     "op2_license_scan": licenses,
@@ -117,10 +123,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": secrets,
     "op9_simhash_near_dedup": simhash,
     "op10_quality_rules": quality,
+    "op11_centroid_clustering": clustering,
 }
 
 
-
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship(spark)
@@ -131,7 +137,32 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
+
+
+def _clustering_sql(rounds: int = 10) -> str:
+    """A step per round: squared distances by inner products of whole numbers, which doubles hold exactly."""
+    assign = """a{i} AS MATERIALIZED (
+  SELECT uid, any_value(vec_id) AS vec_id, any_value(x) AS x, min({{'d': d, 'c': c}}) AS m
+  FROM (SELECT v.uid, v.vec_id, v.x, k.c, list_inner_product(v.x, v.x) + list_inner_product(k.x, k.x) - 2 * list_inner_product(v.x, k.x) AS d FROM v, c{i} k) GROUP BY uid),"""
+    move = """c{j} AS MATERIALIZED (
+  SELECT k.c, coalesce(n.x, k.x) AS x
+  FROM c{i} k LEFT JOIN (SELECT c, list(f ORDER BY p) AS x FROM (SELECT m.c AS c, p, floor(sum(x[p]) / count(*)) AS f FROM a{i}, range(1, 65) t(p) GROUP BY ALL) GROUP BY c) n ON n.c = k.c),"""
+    steps = "\n".join(assign.format(i=i) + (move.format(i=i, j=i + 1) if i < rounds else "") for i in range(rounds + 1))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda e: floor(1024 * CAST(e AS DOUBLE))) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h NULLS LAST, x) - 1 AS c, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h NULLS LAST, x LIMIT 8)),
+{steps}
+s AS (SELECT m.c AS c, sum(m.d) AS d FROM a{rounds} GROUP BY 1)
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(s.d AS BIGINT) AS cluster_inertia, CAST((SELECT sum(d) FROM s) AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(k.x, lambda e: CAST(e AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN s ON s.c = a.m.c JOIN c{rounds} k ON k.c = a.m.c"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_centroid_clustering": _clustering_sql(),
     "op2_license_scan": licenses_oracle(),
     "op1_warc_round_trip": r"""
 WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
