@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.licenses import oracle_sql as licenses_oracle
+from tidemark.llm.pii import oracle_sql as personal_data_oracle
 from tidemark.llm.shared import checkpointed, remove, scratch, ship
 from tidemark.session import table
 
@@ -112,6 +113,12 @@ def clustering(spark: SparkSession, folder: str) -> DataFrame:
     return clusters(table(spark, folder, "embeddings"))
 
 
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.pii import scan_personal_data
+
+    return scan_personal_data(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": warc,
     "op2_license_scan": licenses,
@@ -124,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": simhash,
     "op10_quality_rules": quality,
     "op11_centroid_clustering": clustering,
+    "op12_personal_data": personal_data,
 }
 
 
@@ -163,6 +171,7 @@ FROM a{rounds} a JOIN s ON s.c = a.m.c JOIN c{rounds} k ON k.c = a.m.c"""
 
 ORACLE_SQL: dict[str, str] = {
     "op11_centroid_clustering": _clustering_sql(),
+    "op12_personal_data": personal_data_oracle(),
     "op2_license_scan": licenses_oracle(),
     "op1_warc_round_trip": r"""
 WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
