@@ -5,8 +5,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import clustering
+from tidemark.llm import clustering, negatives
 
 SCHEMA = "vec_id long, embedding array<double>, label int, cluster string, x int, score int"
 
@@ -74,3 +75,52 @@ def test_annuli_find_the_first_of_the_nearest(seed):
     number, distance = clustering.Annuli(centroids.tolist()).nearest(rows.astype(np.int64))
     every = ((rows[:, None, :] - centroids[None]) ** 2).sum(axis=2)
     assert (distance == every.min(axis=1)).all() and (number == every.argmin(axis=1)).all()
+
+
+def plain_negatives(rows, every=50, positives=5, negatives=3, least=50, most=95, scale=256):
+    whole = lambda x: math.floor(max(min(x * scale, 2.0**27), -(2.0**27)))
+    kept = [(i, *r[:1], r[2], [whole(x) for x in r[1]]) for i, r in enumerate(rows) if r[1] is not None and r[2] is not None and all(x is not None and math.isfinite(x) for x in r[1])]
+    place = lambda id_: (id_ is None, id_ or 0)
+    out = []
+    for uid, anchor, label, q in kept:
+        if anchor is None or anchor % every:
+            continue
+        scored = sorted(((-sum(a * b for a, b in zip(q, x)), place(id_), id_, other == label) for u, id_, other, x in kept if u != uid), key=lambda s: s[:2])
+        for p in [s for s in scored if s[3]][:positives]:
+            fits = [s for s in scored if not s[3] and -least * p[0] <= -100 * s[0] <= -most * p[0]]
+            out += [(anchor, p[2], k, s[2], -p[0], -s[0]) for k, s in enumerate(fits[:negatives], 1)]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("partitions", [None, 40])
+def test_hard_negatives_equal_a_plain_version(spark, partitions, monkeypatch):
+    """Blocks and packs of a few rows, so that searches take several rounds over many cells."""
+    monkeypatch.setattr(negatives, "BLOCK", 7)
+    monkeypatch.setattr(negatives, "PACK", 3)
+    monkeypatch.setattr(negatives, "FIRST_CELLS", 2)
+    if partitions:
+        build = negatives.build_index
+        monkeypatch.setattr(negatives, "build_index", lambda rows: build(rows, partitions))
+    rows = [(i, v, (label if i != 17 else None), *rest) for i, v, label, *rest in rows_of(seed=8, n=300)]
+    rows += [(400, rows[50][1], 1, "c", 1, 1), (450, rows[51][1], 2, "c", 1, 1), (500, [], 1, "c", 1, 1)]
+    found = negatives.mine(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("vec_id") % 10 == 0)
+    assert sorted(map(tuple, found.collect()), key=str) == plain_negatives(rows, 10)
+
+
+def test_hard_negatives_of_few_and_no_rows(spark):
+    none = negatives.mine(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0)
+    assert none.isEmpty() and none.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    few = [(0, [1.0, 0.0], 1, "c", 1, 1), (1, [0.9, 0.1], 1, "c", 1, 1), (2, [0.7, 0.2], 2, "c", 1, 1), (3, [0.7], 2, "c", 1, 1), (None, [0.6, 0.0], 3, "c", 1, 1), (5, [-1.0, 0.0], 1, "c", 1, 1)]
+    found = negatives.mine(spark.createDataFrame(few, SCHEMA), F.col("vec_id") % 50 == 0).collect()
+    assert sorted(map(tuple, found), key=str) == plain_negatives(few) and len(found) == 3
+    assert negatives.mine(spark.createDataFrame(few[1:], SCHEMA), F.col("vec_id") % 50 == 0).isEmpty()
+
+
+def test_bounds_hold_for_every_row():
+    rng = np.random.default_rng(4)
+    x = rng.integers(-200, 200, size=(500, 8)) * rng.integers(1, 60, size=(500, 1))
+    geometry = negatives.Geometry(x[:5], int((x * x).sum(axis=1).max()))
+    pivot, key = geometry.keys(x)
+    upper, lower = geometry.bounds(x, pivot, key, key)
+    score = x @ x.T
+    assert (score <= upper).all() and (score >= lower).all() and (upper - score).min() < 4

@@ -119,6 +119,13 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return scan_personal_data(table(spark, folder, "documents"))
 
 
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.negatives import mine
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, folder, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_round_trip": warc,
     "op2_license_scan": licenses,
@@ -132,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": quality,
     "op11_centroid_clustering": clustering,
     "op12_personal_data": personal_data,
+    "op13_hard_negatives": hard_negatives,
 }
 
 
@@ -172,6 +180,18 @@ FROM a{rounds} a JOIN s ON s.c = a.m.c JOIN c{rounds} k ON k.c = a.m.c"""
 ORACLE_SQL: dict[str, str] = {
     "op11_centroid_clustering": _clustering_sql(),
     "op12_personal_data": personal_data_oracle(),
+    "op13_hard_negatives": """
+WITH r AS MATERIALIZED (
+  SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding)),
+s AS MATERIALIZED (
+  SELECT a.uid AS anchor, a.vec_id AS anchor_id, b.uid, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.uid <> b.uid),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id NULLS LAST) <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.uid ORDER BY s.score DESC, s.id NULLS LAST) AS k, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3""",
     "op2_license_scan": licenses_oracle(),
     "op1_warc_round_trip": r"""
 WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
