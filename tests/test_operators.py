@@ -1,6 +1,7 @@
 """Operators on small rows: nulls, ties, empty tables, clashing names; and those without SQL by brute force."""
 
-from collections import defaultdict
+import math
+from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -16,10 +17,12 @@ from tidemark.operators import evaluation as V
 from tidemark.operators import extraction as E
 from tidemark.operators import feeds as G
 from tidemark.operators import filters as O
+from tidemark.operators import graph as N
 from tidemark.operators import lifecycle as L
 from tidemark.operators import relational as R
 from tidemark.operators import search as Q
 from tidemark.operators import selection as P
+from tidemark.operators import similarity as M
 from tidemark.streaming import events as T
 
 #: Names that operators give to columns of their own.
@@ -248,7 +251,7 @@ def test_near_duplicates_by_brute_force(ready):
         for b in ids:
             if a < b and sets[a] | sets[b]:
                 jaccard = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-                if jaccard >= 0.85 or sets[a] & sets[b] and jaccard > 0.5 and SequenceMatcher(None, flat[a], flat[b]).ratio() >= 0.85:
+                if jaccard >= 0.85 or jaccard >= 0.6 and SequenceMatcher(None, flat[a], flat[b]).ratio() >= 0.85:
                     x, y = group[a], group[b]
                     group = {i: min(x, y) if g in (x, y) else g for i, g in group.items()}
     empties = [i for i in ids if not sets[i]]
@@ -295,6 +298,57 @@ def test_tfidf_clusters(ready):
     assert found == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
 
 
+def plain_groups(ids, alike):
+    group = {i: i for i in ids}
+    for a in ids:
+        for b in ids:
+            if a < b and alike(a, b) and group[a] != group[b]:
+                x, y = sorted((group[a], group[b]))
+                group = {i: x if g == y else g for i, g in group.items()}
+    return group
+
+
+def test_tfidf_clusters_lose_no_link(ready):
+    """A heavy word's first text isn't alike to the others, which are equal."""
+    rows = [(0, "aaaa zzzz yyyy"), (1, "bbbb wwww vvvv"), (2, "cccc tttt ssss"), (10, "aaaa bbbb cccc"), (11, "aaaa bbbb cccc")]
+    found = dict(got(D.tfidf_clusters(ready.createDataFrame(rows, "id long, text string"), 0.3), "id", "root"))
+    assert found[10] == found[11]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cosine_and_jaccard_joins_by_brute_force(ready, seed):
+    """Hub words that all texts have, groups of edited copies, repeated texts, empty ones; blocks of five."""
+    rng = np.random.default_rng(seed)
+    words = [f"word{i}" for i in range(40)]
+    base = [[words[j] for j in rng.zipf(1.4, 12) % 40] for _ in range(40)]
+    base += [[*base[0][:-1], words[i % 40]] for i in range(25)] + [base[1]] * 6 + [["common"], ["common"], []]
+    texts = {i: ["hubb", *t] if t else t for i, t in enumerate(base)}
+    frame = ready.createDataFrame([(i, t) for i, t in texts.items()], "id long, words array<string>").repartition(4)
+
+    n = len(texts)
+    df = Counter(w for t in texts.values() for w in set(t))
+    vectors = {}
+    for i, t in texts.items():
+        v = {w: k * (math.log((n + 1) / (df[w] + 1)) + 1) for w, k in Counter(t).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {w: x / norm for w, x in v.items()}
+    cosine = lambda a, b: round(sum(x * vectors[b].get(w, 0.0) for w, x in vectors[a].items()), 6)
+    links = M.cosine_links(M.tfidf(frame, F.col("words")), 0.6, block=5)
+    found = dict(got(N.components(frame.select("id"), links), "id", "root"))
+    assert found == plain_groups(texts, lambda a, b: cosine(a, b) >= 0.6)
+    assert all(abs(r.cosine - cosine(r.a, r.b)) < 2e-6 for r in links.collect())
+
+    sets = frame.select("id", F.transform(F.array_distinct("words"), lambda t: F.xxhash64(t)).alias("tokens"))
+    jaccard = lambda a, b: len(set(texts[a]) & set(texts[b])) / max(1, len(set(texts[a]) | set(texts[b])))
+    links, rest = M.linked_sets(sets, 0.7, 0.4, block=5)
+    group = plain_groups(texts, lambda a, b: jaccard(a, b) >= 0.7)
+    assert dict(got(N.components(frame.select("id"), links), "id", "root")) == group
+    seen = {(r.a, r.b) for r in rest.collect()}
+    same = lambda a: min(i for i, t in texts.items() if set(t) == set(texts[a]))
+    assert {(a, b) for a in texts for b in texts if a < b and same(a) == a and same(b) == b and 0.4 <= jaccard(a, b) < 0.7 and group[a] != group[b]} <= seen
+    assert all(0.4 <= jaccard(a, b) < 0.7 for a, b in seen)
+
+
 def test_stream_goes_on_from_its_checkpoint(spark):
     batch = lambda *ids: spark.createDataFrame([(i, 1) for i in ids], "event_id int, user_id int").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
     found = T.run_batches([batch(1, 2), batch(2, 3), batch(3, 3, 4)], lambda s: T.once(s, "event_id", "1 day"), "append")

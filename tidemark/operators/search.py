@@ -1,4 +1,4 @@
-"""Whole-word search, rank and hybrid retrieval. No stemmer is at hand, so words match as they are, case aside.
+"""Whole-word search, rank and hybrid retrieval by a scan: words match as they are, case aside. ``postings`` has stems and an index.
 
 A query is terms joined by OR; a term of several words is a phrase. Empty tables give empty results.
 """
@@ -30,7 +30,7 @@ def text_rank(text: Column, terms: Sequence[str]) -> Column:
 def cover_density(text: Column, a: str, b: str) -> Column:
     """Of two words: the sum over places of ``a`` of 1 / distance to the nearest ``b``, in words; 0 without both.
 
-    Both words' places are listed and walked together by their nearest neighbour.
+    Work is the product of their numbers of places; ``postings.cover_density`` is linear and of any number of words.
     """
     words = X.tokens(F.coalesce(text, F.lit("")))
     places = lambda w: F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())

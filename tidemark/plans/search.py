@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import postings as I
 from tidemark.operators import search as Q
 from tidemark.plans.catalogue import register
-from tidemark.plans.posts import POSTS, posts, sql_word
+from tidemark.plans.posts import POSTS, posts, quoted, sql_word
 from tidemark.session import table
 
 TERMS, NOT = ["thatin", "by the", "sich"], ["hehely"]
@@ -68,3 +69,49 @@ def embedding_backlog(spark, folder):
 def long_tail_backlog(spark, folder):
     rows = table(spark, folder, "events").filter(F.col("value").between(20, 60) | F.col("value").isNull())
     return rows.orderBy("value", "event_id").select("event_id").limit(50)
+
+
+#: Any of: both words of the first group, the phrase, the last word. In SQL, places are words apart by single spaces.
+ANY_OF, EXCLUDED = [["thatin", "inoran"], ["by the"], ["sich"]], ["hehely", "of and"]
+_PADDED = "t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents), p AS (SELECT id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM t)"
+_IN = lambda k: f"contains(s, {quoted(' ' + k + ' ')})"
+_FITS = f"({' OR '.join('(' + ' AND '.join(map(_IN, g)) + ')' for g in ANY_OF)}) AND NOT ({' OR '.join(map(_IN, EXCLUDED))})"
+_WORDS = sorted({w for g in ANY_OF for k in g for w in k.split()})
+_SHARE = f"round(len(list_filter(w, lambda x: x IN ({', '.join(map(quoted, _WORDS))}))) / (1.0::DOUBLE + ln(1.0::DOUBLE + len(w))), 6)"
+
+
+def _documents(spark, folder):
+    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@register("posting_search", f"WITH {_PADDED} SELECT id, {_SHARE} AS text_rank FROM p WHERE {_FITS}")
+def posting_search(spark, folder):
+    """Words as they are; ``stemmed_search`` has stems."""
+    return I.search(I.build(_documents(spark, folder), stemmed=False), ANY_OF, EXCLUDED)
+
+
+@register("posting_top", f"WITH {_PADDED} SELECT id, {_SHARE} AS text_rank FROM p WHERE {_FITS} ORDER BY text_rank DESC, id LIMIT 40")
+def posting_top(spark, folder):
+    return I.top(I.build(_documents(spark, folder), stemmed=False), ANY_OF, 40, EXCLUDED)
+
+
+@register("stemmed_search")
+def stemmed_search(spark, folder):
+    """No SQL: stems come from the published rules; tested against a scan of all texts."""
+    return I.search(I.build(_documents(spark, folder)), ANY_OF, EXCLUDED)
+
+
+_COVER = ["the", "of", "thatin"]
+
+
+@register(
+    "cover_density_of_three",
+    f"""WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents), e AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM t),
+m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS k FROM e WHERE word IN ({", ".join(map(quoted, _COVER))})),
+l AS (SELECT *, {", ".join(f"max(CASE WHEN word = {quoted(w)} THEN pos END) OVER o AS l{i}" for i, w in enumerate(_COVER))} FROM m WINDOW o AS (PARTITION BY id ORDER BY pos)),
+c AS (SELECT *, CASE WHEN l0 IS NOT NULL AND l1 IS NOT NULL AND l2 IS NOT NULL THEN least(l0, l1, l2) END AS p FROM l),
+n AS (SELECT *, lag(p) OVER (PARTITION BY id ORDER BY pos) AS before FROM c)
+SELECT n.id, round(sum(0.1::DOUBLE / (1.0::DOUBLE + (n.pos - n.p) - (n.k - m.k))), 6) AS density FROM n JOIN m ON m.id = n.id AND m.pos = n.p WHERE n.p IS NOT NULL AND (n.before IS NULL OR n.p > n.before) GROUP BY n.id""",
+)
+def cover_density_of_three(spark, folder):
+    return I.covered(I.build(_documents(spark, folder), stemmed=False), _COVER)

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks; a cluster brings its own."""
@@ -21,3 +28,38 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shipped(spark: SparkSession) -> None:
+    """Lets Python workers import this library where they can't find it themselves; Spark's file server sends it, once a session."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        top = Path(__file__).resolve().parent
+        with zipfile.ZipFile(file := f"{tempfile.mkdtemp(prefix='tidemark-')}/tidemark.zip", "w") as out:
+            for path in sorted(top.rglob("*.py")):
+                out.write(path, path.relative_to(top.parent))
+        context.addPyFile(file)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where none is set, as in tests on one machine, a temporary one becomes it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame's rows, written to the shared folder and without the plan that made them."""
+    shared_folder(frame.sparkSession)
+    return frame.checkpoint()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that no other call gets."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``, which all executors share; a temporary one on a single machine only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+from tidemark.session import scratch
 
 
 def read_events(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
