@@ -23,6 +23,13 @@ def removal_ratio(rows: DataFrame, community: str, removed: Column) -> DataFrame
     return sums.select(community, F.round("share", 6).alias("removal_ratio"), F.round((1 - F.col("share")) * 100).cast("long").alias("friendliness"))
 
 
+def penetration_by_brand(posts: DataFrame, mentions: DataFrame, community: str, brand: str, post: str) -> DataFrame:
+    """Per community and brand: its posts, those that mention the brand, and their share. Brands that no post of it mentions have no row."""
+    total = posts.groupBy(community).agg(F.count("*").alias("posts"))
+    named = mentions.groupBy(community, brand).agg(F.countDistinct(post).alias("branded_posts"))
+    return named.join(total, community).withColumn("penetration", F.round(F.col("branded_posts") / F.greatest("posts", F.lit(1)), 6))
+
+
 def brand_penetration(posts: DataFrame, mentions: DataFrame, community: str = "community", post: str = "post") -> DataFrame:
     """Per community: posts, posts that mention a brand, and their share.
 

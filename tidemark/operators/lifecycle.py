@@ -103,6 +103,18 @@ def moved_waterline(stored: DataFrame, incremental: DataFrame, key: str, time: s
     return stored.select(key, time).unionByName(most).groupBy(key).agg(F.max(time).alias(time))
 
 
+def two_tracks(rows: DataFrame, key: str, time: str, backfill: Column) -> DataFrame:
+    """Per key: waterline (newest row of the incremental track, null without any), floor (oldest row of both), stored, and beyond.
+
+    ``beyond`` counts the backfill's rows that are newer than the waterline, which they don't move. Rows without a time are stored only.
+    """
+    marked = rows.select(key, F.col(time).alias("at"), backfill.alias("late"))
+    line = marked.groupBy(key).agg(F.max(F.when(~F.col("late"), F.col("at"))).alias("waterline"), F.min("at").alias("floor"), F.count("*").alias("stored"))
+    newer = F.coalesce(F.col("at") > F.col("waterline"), F.col("waterline").isNull() & F.col("at").isNotNull())
+    beyond = marked.filter("late").join(line.select(key, "waterline"), key).groupBy(key).agg(F.count_if(newer).alias("beyond"))
+    return line.join(beyond, key, "left").na.fill(0, ["beyond"])
+
+
 def backfill_status(months: Column, sample: Column, capped: Column, wanted: int = 12, least: int = 100) -> Column:
     """DONE_CAPPED, DONE_12M, NEEDS or ERROR by coverage, sample size and cap."""
     return F.when(months.isNull(), "ERROR").when(capped, "DONE_CAPPED").when((months >= wanted) & (sample >= least), "DONE_12M").otherwise("NEEDS")

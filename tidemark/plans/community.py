@@ -25,10 +25,10 @@ def removal_ratio(spark, folder):
 
 @register(
     "brand_penetration",
-    f"WITH {MENTIONS} SELECT community, count(*) AS posts, count(b.post) AS branded_posts, round(count(b.post) / greatest(count(*), 1), 6) AS penetration FROM order_posts p LEFT JOIN (SELECT DISTINCT post FROM mentions WHERE brand LIKE '%1') b USING (post) GROUP BY community",
+    f"WITH {MENTIONS} SELECT community, brand, n AS posts, count(DISTINCT post) AS branded_posts, round(count(DISTINCT post) / greatest(n, 1), 6) AS penetration FROM mentions JOIN (SELECT community, count(*) AS n FROM order_posts GROUP BY 1) USING (community) GROUP BY community, brand, n",
 )
 def brand_penetration(spark, folder):
-    return C.brand_penetration(order_posts(spark, folder), mentions(spark, folder).filter(F.col("brand").like("%1")), "community", "post")
+    return C.penetration_by_brand(order_posts(spark, folder), mentions(spark, folder), "community", "brand", "post")
 
 
 GROWTH = f"""SELECT event_type, count(*) FILTER (WHERE age BETWEEN 0 AND 6) AS recent, count(*) FILTER (WHERE age BETWEEN 7 AND 13) AS previous FROM (SELECT event_type, date_diff('day', CAST(ts AS DATE), DATE '{DAY}') AS age FROM events) GROUP BY event_type"""
@@ -95,7 +95,7 @@ def crawl_priority(spark, folder):
 #: Posts of a community: events by type, a document of the same number as title where there is one.
 METRIC_POSTS = """p AS (SELECT event_type AS community, ts, coalesce(split_part(text, chr(10), 1), event_type) AS title, value AS score, CAST(json_extract(props, '$.k') AS BIGINT) AS comments, coalesce(quality = 0, false) AS pain, coalesce(quality = 1, false) AS solution,
 quality IS NOT NULL OR user_id % 3 = 0 AS labelled, user_id % 2 AS brands, value > 40 AS feature FROM events LEFT JOIN documents ON doc_id = event_id LEFT JOIN labels USING (doc_id)),
-c AS (SELECT event_type AS community, ts FROM events WHERE value > 10)"""
+c AS (SELECT event_type AS community, ts FROM events)"""
 METRICS = f"""{METRIC_POSTS}, a AS (SELECT *, date_diff('day', CAST(ts AS DATE), DATE '{DAY}') AS age, {WORDS} AS w FROM p),
 g AS (SELECT community, count(*) FILTER (WHERE age BETWEEN 0 AND 6) AS r, count(*) FILTER (WHERE age BETWEEN 7 AND 13) AS q FROM a GROUP BY community),
 d AS (SELECT community, count(DISTINCT x) AS different, count(x) AS words FROM (SELECT community, unnest(w) AS x FROM a WHERE age BETWEEN 0 AND 29) GROUP BY community),
@@ -115,7 +115,7 @@ def _metrics(spark, folder):
         F.col("event_type").alias("community"), "ts", F.coalesce(F.substring_index("text", "\n", 1), "event_type").alias("title"), F.col("value").alias("score"), F.get_json_object("props", "$.k").cast("long").alias("comments"), known(F.col("quality") == 0).alias("pain"),
         known(F.col("quality") == 1).alias("solution"), (F.col("quality").isNotNull() | (F.col("user_id") % 3 == 0)).alias("labelled"), (F.col("user_id") % 2).alias("brands"), (F.col("value") > 40).alias("feature"),
     )
-    c = events.filter("value > 10").select(F.col("event_type").alias("community"), "ts")
+    c = events.select(F.col("event_type").alias("community"), "ts")
     return C.community_metrics(p, c, 30, _now())
 
 
@@ -226,14 +226,14 @@ def recommendations_with_cap(spark, folder):
 
 @register(
     "merged_snapshots",
-    """WITH s AS (SELECT n_name AS community, count(*) AS recent, max(o_orderdate) AS latest FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'O' GROUP BY 1),
+    """WITH s AS (SELECT n_name AS community, count(*) AS recent, max(o_orderdate) AS latest FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus <> 'F' GROUP BY 1),
 n AS (SELECT lower(n_name) AS key, count(*) AS recent, max(o_orderdate) AS latest FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'F' GROUP BY 1)
 SELECT community, greatest(s.recent, n.recent) AS recent, CAST(epoch_us(greatest(s.latest, n.latest)) AS BIGINT) AS latest FROM s LEFT JOIN n ON lower(community) = key""",
 )
 def merged_snapshots(spark, folder):
     rows = order_posts(spark, folder)
-    sums = lambda status: rows.filter(F.col("status") == status).groupBy("community").agg(F.count("*").alias("recent"), F.max("ts").alias("latest"))
-    found = C.merged_snapshots(sums("O"), sums("F").withColumn("community", F.concat(F.lit("r/"), F.lower("community"))))
+    sums = lambda of: rows.filter(of).groupBy("community").agg(F.count("*").alias("recent"), F.max("ts").alias("latest"))
+    found = C.merged_snapshots(sums("status <> 'F'"), sums("status = 'F'").withColumn("community", F.concat(F.lit("r/"), F.lower("community"))))
     return found.withColumn("latest", F.unix_micros(F.col("latest").cast("timestamp")))
 
 

@@ -95,10 +95,10 @@ def discovery_audit(spark, folder):
     return table(spark, folder, "events").groupBy("user_id").agg(F.count("*").alias("candidates"), kind("view").alias("drafts"), kind("purchase").alias("published"), kind("error").alias("rejected"), F.countDistinct("event_type").alias("topics"), (F.count("*") - F.countDistinct(F.floor("value"))).alias("repeats"))
 
 
-@register("coverage_against_registry", "SELECT n_name, coalesce(n, 0) AS n, coalesce(n, 0) = 0 AS uncovered, round(coalesce(n, 0) / (SELECT count(*) FROM supplier), 6) AS share FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 0 GROUP BY 1) ON s_nationkey = n_nationkey")
+@register("coverage_against_registry", "SELECT n_name, coalesce(n, 0) AS n, coalesce(n, 0) = 0 AS uncovered, round(coalesce(n, 0) / (SELECT count(*) FROM supplier), 6) AS share FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey")
 def coverage_against_registry(spark, folder):
     supplier = table(spark, folder, "supplier")
-    counts = supplier.filter("s_acctbal > 0").groupBy("s_nationkey").agg(F.count("*").alias("n"))
+    counts = supplier.groupBy("s_nationkey").agg(F.count("*").alias("n"))
     rows = table(spark, folder, "nation").join(counts, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(F.broadcast(supplier.agg(F.count("*").alias("all"))))
     n = F.coalesce("n", F.lit(0))
     return rows.select("n_name", n.alias("n"), (n == 0).alias("uncovered"), F.round(n / F.col("all"), 6).alias("share"))
@@ -124,10 +124,10 @@ def title_terms(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.array_join(F.slice(words, 1, 5), ",").alias("terms"))
 
 
-@register("gain_before_after", "SELECT event_type, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS before, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS after, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') - count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS gain FROM events WHERE value > 30 GROUP BY 1")
+@register("gain_before_after", "SELECT event_type, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS before, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') AS after, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-16') - count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-16') AS gain FROM events GROUP BY 1")
 def gain_before_after(spark, folder):
     late = F.col("ts") >= F.expr("timestamp_ntz'2024-01-16'")
-    sums = table(spark, folder, "events").filter("value > 30").groupBy("event_type").agg(F.count_if(~late).alias("before"), F.count_if(late).alias("after"))
+    sums = table(spark, folder, "events").groupBy("event_type").agg(F.count_if(~late).alias("before"), F.count_if(late).alias("after"))
     return sums.withColumn("gain", F.col("after") - F.col("before"))
 
 
@@ -145,17 +145,22 @@ def top_drivers(spark, folder):
     return table(spark, folder, "events").groupBy(label.alias("label")).agg(weight.alias("weight")).orderBy(F.desc("weight"), "label").limit(3)
 
 
-@register("pair_groups", "WITH u AS (SELECT DISTINCT event_type AS topic, user_id FROM events WHERE value > 100) SELECT a.topic AS a, b.topic AS b, count(*) AS common FROM u a JOIN u b ON a.user_id = b.user_id AND a.topic < b.topic GROUP BY 1, 2")
+def _topics(spark, folder):
+    """Topics of the users' days."""
+    return table(spark, folder, "events").select(F.col("event_type").alias("topic"), (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("user_id")).distinct()
+
+
+@register("pair_groups", "WITH u AS (SELECT DISTINCT event_type AS topic, user_id * 100 + day(ts) AS user_id FROM events) SELECT a.topic AS a, b.topic AS b, count(*) AS common FROM u a JOIN u b ON a.user_id = b.user_id AND a.topic < b.topic GROUP BY 1, 2")
 def pair_groups(spark, folder):
     """Topics by shared users: a user has few topics, so pairs are bounded by those."""
-    u = table(spark, folder, "events").filter("value > 100").select(F.col("event_type").alias("topic"), "user_id").distinct()
+    u = _topics(spark, folder)
     pairs = u.withColumnRenamed("topic", "a").join(u.withColumnRenamed("topic", "b"), "user_id").filter("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("common"))
 
 
-@register("overlap_audit", "WITH u AS (SELECT DISTINCT event_type AS topic, user_id FROM events WHERE value > 100), n AS (SELECT topic, count(*) AS n FROM u GROUP BY 1), p AS (SELECT a.topic AS a, b.topic AS b, count(*) AS common FROM u a JOIN u b ON a.user_id = b.user_id AND a.topic < b.topic GROUP BY 1, 2) SELECT a, b, round(common / (x.n + y.n - common), 6) AS jaccard, common / (x.n + y.n - common) >= 0.3 AS over FROM p JOIN n x ON x.topic = a JOIN n y ON y.topic = b")
+@register("overlap_audit", "WITH u AS (SELECT DISTINCT event_type AS topic, user_id * 100 + day(ts) AS user_id FROM events), n AS (SELECT topic, count(*) AS n FROM u GROUP BY 1), p AS (SELECT a.topic AS a, b.topic AS b, count(*) AS common FROM u a JOIN u b ON a.user_id = b.user_id AND a.topic < b.topic GROUP BY 1, 2) SELECT a, b, round(common / (x.n + y.n - common), 6) AS jaccard, common / (x.n + y.n - common) >= 0.3 AS over FROM p JOIN n x ON x.topic = a JOIN n y ON y.topic = b")
 def overlap_audit(spark, folder):
-    u = table(spark, folder, "events").filter("value > 100").select(F.col("event_type").alias("topic"), "user_id").distinct()
+    u = _topics(spark, folder)
     sizes = u.groupBy("topic").agg(F.count("*").alias("n"))
     both = pair_groups(spark, folder)
     side = lambda name: sizes.select(F.col("topic").alias(name), F.col("n").alias(f"n{name}"))

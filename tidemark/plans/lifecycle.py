@@ -44,11 +44,10 @@ def last_write_wins(spark, folder):
     return L.last_write_wins(old, new, ["user_id"], "ts").select("user_id", "event_id", "event_type")
 
 
-@register("insert_if_absent", f"SELECT user_id * 10 + length(event_type) AS key, min(event_id) AS event_id FROM events WHERE NOT {_EARLY} AND user_id * 10 + length(event_type) NOT IN (SELECT user_id * 10 + length(event_type) FROM events WHERE {_EARLY} AND value > 20) GROUP BY 1")
+@register("insert_if_absent", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def insert_if_absent(spark, folder):
-    old, new = _halves(spark, folder)
-    key = (F.col("user_id") * 10 + F.length("event_type")).alias("key")
-    return L.insert_if_absent(old.filter("value > 20").select(key), new.select(key, "event_id"), "key")
+    """Documents that the labels don't have yet."""
+    return L.insert_if_absent(table(spark, folder, "labels").select("doc_id"), table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
 
 
 _VERSIONS = "v AS (SELECT user_id, event_id, event_type, value, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version FROM events)"
@@ -123,13 +122,15 @@ def backfill_floor(spark, folder):
     return L.moved_floor(new.groupBy("event_type").agg(F.min("floor").alias("floor")), old, "event_type", "floor")
 
 
-@register("waterline_ignores_backfill", f"SELECT event_type, max(CAST(epoch_us(ts) AS BIGINT)) AS waterline FROM events WHERE {_EARLY} GROUP BY 1")
+@register(
+    "waterline_ignores_backfill",
+    """WITH w AS (SELECT event_type, max(ts) FILTER (value <= 100) AS line FROM events GROUP BY 1)
+SELECT event_type, CAST(epoch_us(line) AS BIGINT) AS waterline, CAST(epoch_us(min(ts)) AS BIGINT) AS floor, count(*) AS stored, count(*) FILTER (value > 100 AND (line IS NULL OR ts > line)) AS beyond FROM events JOIN w USING (event_type) GROUP BY event_type, line""",
+)
 def waterline_ignores_backfill(spark, folder):
-    """Rows of a backfill are stored, but only the incremental track moves the line."""
-    old, new = (rows.select("event_type", _micros().alias("waterline")) for rows in _halves(spark, folder))
-    first = old.groupBy("event_type").agg(F.min("waterline").alias("waterline"))
-    backfill = new.limit(0)
-    return L.moved_waterline(L.moved_waterline(first, old, "event_type", "waterline"), backfill, "event_type", "waterline")
+    """Events of a value over 100 come by the backfill track: they are stored and move the floor, but only the others move the line."""
+    rows = table(spark, folder, "events").select("event_type", _micros().alias("time"), (F.col("value") > 100).alias("backfill"))
+    return L.two_tracks(rows, "event_type", "time", F.coalesce("backfill", F.lit(False)))
 
 
 @register("backfill_states", "SELECT user_id, CASE WHEN months IS NULL THEN 'ERROR' WHEN user_id % 13 = 0 THEN 'DONE_CAPPED' WHEN months >= 20 AND n >= 60 THEN 'DONE_12M' ELSE 'NEEDS' END AS status FROM (SELECT user_id, count(DISTINCT CAST(ts AS DATE)) AS months, count(*) AS n FROM events GROUP BY 1)")
@@ -239,7 +240,7 @@ def dual_write_counts(spark, folder):
     return cold.agg(F.count("*").alias("n")).select(F.lit("cold").alias("target"), "n").unionByName(hot.agg(F.count("*").alias("n")).select(F.lit("hot").alias("target"), "n"))
 
 
-@register("adaptive_intervals", "SELECT user_id, CASE WHEN r > 0.9 THEN 4 WHEN r < 0.7 THEN 1 ELSE 2 END AS hours FROM (SELECT user_id, avg(CASE WHEN event_type IN ('error', 'signup') THEN 0.0 ELSE 1.0 END) AS r FROM events WHERE value > 5 GROUP BY 1)")
+@register("adaptive_intervals", "SELECT user_id, CASE WHEN r > 0.9 THEN 4 WHEN r < 0.7 THEN 1 ELSE 2 END AS hours FROM (SELECT user_id, avg(CASE WHEN event_type IN ('error', 'signup') THEN 0.0 ELSE 1.0 END) AS r FROM events GROUP BY 1)")
 def adaptive_intervals(spark, folder):
-    rows = table(spark, folder, "events").filter("value > 5").groupBy("user_id").agg(F.avg((~F.col("event_type").isin("error", "signup")).cast("int")).alias("r"))
+    rows = table(spark, folder, "events").groupBy("user_id").agg(F.avg((~F.col("event_type").isin("error", "signup")).cast("int")).alias("r"))
     return rows.select("user_id", S.crawl_interval_hours(F.col("r")).alias("hours"))

@@ -20,11 +20,13 @@ POSTS = r"""posts AS (
 
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:
+    """Events are one row an id, the first by time, so the optimizer leaves the join out where nothing of them is used."""
     docs, events = table(spark, folder, "documents"), table(spark, folder, "events")
     text = F.coalesce("text", F.lit(""))
     title = F.substring_index(text, "\n", 1)
     rows = docs.select(F.col("doc_id").alias("id"), "source", "lang", text.alias("text"), title.alias("title"), F.substr(text, F.length(title) + 2).alias("body"))
-    more = events.select("event_id", F.col("user_id").alias("author"), "ts", F.col("value").alias("score"), F.get_json_object("props", "$.k").cast("long").alias("comments"))
+    first = events.groupBy("event_id").agg(F.min(F.struct("ts", "user_id", "value", "props")).alias("e"))
+    more = first.select("event_id", F.col("e.user_id").alias("author"), "e.ts", F.col("e.value").alias("score"), F.get_json_object("e.props", "$.k").cast("long").alias("comments"))
     return rows.join(more, F.col("id") == F.col("event_id"), "left").drop("event_id")
 
 

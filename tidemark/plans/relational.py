@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import analytics as A
+from tidemark.operators import postings as I
 from tidemark.operators import relational as R
+from tidemark.operators import search as Q
 from tidemark.plans.catalogue import register
 from tidemark.plans.posts import COMMENTS, MENTIONS, POSTS, comments, mentions, order_posts, posts
 from tidemark.session import table
@@ -37,10 +39,10 @@ def exists_in_array(spark, folder):
     return each.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("event_type")), ",").alias("known"))
 
 
-@register("composite_key_join", "SELECT l_orderkey, l_linenumber, o_orderdate < l_shipdate AS later FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_returnflag = o_orderstatus WHERE l_quantity > 10")
+@register("composite_key_join", "SELECT l_orderkey, l_linenumber, o_orderdate < l_shipdate AS later FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND year(l_shipdate) = year(o_orderdate)")
 def composite_key_join(spark, folder):
     lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
-    rows = lines.filter("l_quantity > 10").join(orders, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_returnflag") == F.col("o_orderstatus")))
+    rows = lines.join(orders, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.year("l_shipdate") == F.year("o_orderdate")))
     return rows.select("l_orderkey", "l_linenumber", (F.col("o_orderdate") < F.col("l_shipdate")).alias("later"))
 
 
@@ -279,14 +281,14 @@ def monthly_velocity(spark, folder):
 
 @register(
     "trend_series",
-    """WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), g AS (SELECT month, n, lag(n) OVER (ORDER BY month) AS p FROM m), v AS (SELECT round(3.0::DOUBLE * arg_max(n, month) / sum(n), 6) AS velocity FROM (SELECT * FROM m ORDER BY month DESC LIMIT 3)),
+    """WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1), g AS (SELECT month, n, lag(n) OVER (ORDER BY month) AS p FROM m), v AS (SELECT round(3.0::DOUBLE * arg_max(n, month) / sum(n), 6) AS velocity FROM (SELECT * FROM m ORDER BY month DESC LIMIT 3)),
 t AS (SELECT month, n, (n - p) / greatest(p, 1) AS growth, velocity FROM g, v)
 SELECT month, n, round(growth, 4) AS growth, velocity, CASE WHEN growth IS NULL THEN 'STABLE' WHEN (growth > 0.5 AND n > 5) OR (velocity > 1.3 AND n > 10) THEN 'EXPLODING' WHEN growth > 0.2 OR velocity > 1.1 THEN 'RISING' WHEN growth < -0.2 OR velocity < 0.8 THEN 'FALLING' ELSE 'STABLE' END AS trend FROM t""",
 )
 def trend_series(spark, folder):
     from tidemark.functions import scoring as S
 
-    m = table(spark, folder, "orders").filter("o_orderpriority = '1-URGENT'").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    m = table(spark, folder, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
     last = m.orderBy(F.desc("month")).limit(3).agg(F.round(F.max_by("n", "month") * 3.0 / F.sum("n"), 6).alias("velocity"))
     before = F.lag("n").over(Window.orderBy("month"))
     rows = m.withColumn("growth", (F.col("n") - before) / F.greatest(before, F.lit(1))).join(F.broadcast(last))
@@ -325,16 +327,17 @@ def labels_in_one_shape(spark, folder):
     return both.groupBy("content", "category", "num_comments").agg(F.count("*").alias("n"))
 
 
-@register("merged_by_id", "SELECT id, origin FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, k) AS r FROM (SELECT doc_id AS id, 'primary' AS origin, 0 AS p, doc_id AS k FROM documents WHERE lang <> 'en' UNION ALL SELECT doc_id, 'extra', 1, doc_id FROM labels)) WHERE r = 1")
+@register("merged_by_id", "SELECT id, origin FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p, k) AS r FROM (SELECT doc_id AS id, 'primary' AS origin, 0 AS p, doc_id AS k FROM labels UNION ALL SELECT doc_id, 'extra', 1, doc_id FROM documents)) WHERE r = 1")
 def merged_by_id(spark, folder):
-    primary = table(spark, folder, "documents").filter("lang <> 'en'").select(F.col("doc_id").alias("id"), F.lit("primary").alias("origin"))
-    return R.merged_by_priority([primary, table(spark, folder, "labels").select(F.col("doc_id").alias("id"), F.lit("extra").alias("origin"))], "id")
+    side = lambda name, origin: table(spark, folder, name).select(F.col("doc_id").alias("id"), F.lit(origin).alias("origin"))
+    return R.merged_by_priority([side("labels", "primary"), side("documents", "extra")], "id")
 
 
-@register("without_subsets", "WITH g AS (SELECT user_id, list_sort(list(DISTINCT event_type)) AS types FROM events WHERE value > 120 GROUP BY 1), d AS (SELECT types, min(user_id) AS user_id FROM g GROUP BY types) SELECT user_id, array_to_string(types, ',') AS types FROM d x WHERE NOT EXISTS (SELECT 1 FROM d y WHERE len(y.types) > len(x.types) AND list_has_all(y.types, x.types))")
+@register("without_subsets", "WITH g AS (SELECT user_id * 100 + day(ts) AS user_day, list_sort(list(DISTINCT event_type)) AS types FROM events GROUP BY 1), d AS (SELECT types, min(user_day) AS user_day FROM g GROUP BY types) SELECT user_day, array_to_string(types, ',') AS types FROM d x WHERE NOT EXISTS (SELECT 1 FROM d y WHERE len(y.types) > len(x.types) AND list_has_all(y.types, x.types))")
 def without_subsets(spark, folder):
-    rows = table(spark, folder, "events").filter("value > 120").select("user_id", F.col("event_type").alias("item")).distinct()
-    return R.without_subsets(rows, "user_id", "item")
+    """Sets of event types by user and day of the month; of equal ones the first, and none that another has all of."""
+    rows = table(spark, folder, "events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("user_day"), F.col("event_type").alias("item")).distinct()
+    return R.without_subsets(rows, "user_day", "item")
 
 
 @register("filled_up_to_minimum", "WITH a AS (SELECT p_brand AS name, 0 AS p, count(*) AS n FROM part WHERE p_size > 45 GROUP BY 1 HAVING count(*) > 10), b AS (SELECT p_brand AS name, 1 AS p, count(*) AS n FROM part GROUP BY 1), u AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE lower(name) NOT IN (SELECT lower(name) FROM a)) SELECT name, p, n FROM u ORDER BY p, n DESC, name LIMIT (SELECT greatest(20, count(*)) FROM a)")
@@ -344,11 +347,19 @@ def filled_up(spark, folder):
     return R.filled_up(counts(part.filter("p_size > 45")).filter("n > 10"), counts(part), "name", 20, F.desc("n"))
 
 
-@register("hybrid_merge", "WITH a AS (SELECT doc_id AS id, n_chars / 40000.0::DOUBLE AS t FROM documents WHERE n_chars > 1500), b AS (SELECT vec_id AS id, abs(CAST(embedding[1] AS DOUBLE)) AS s FROM embeddings WHERE label < 6) SELECT id, round(CASE WHEN coalesce(t, 0) > 0 AND coalesce(s, 0) > 0 THEN 0.7::DOUBLE * s + 0.3::DOUBLE * t ELSE greatest(coalesce(s, 0), coalesce(t, 0)) END, 6) AS score FROM a FULL JOIN b USING (id)")
+@register(
+    "hybrid_merge",
+    """WITH t AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM documents), a AS (SELECT id, round(len(list_filter(w, lambda x: x IN ('thatin', 'the'))) / (1.0::DOUBLE + ln(1.0::DOUBLE + len(w))), 6) AS t FROM t WHERE list_has_any(w, ['thatin', 'the'])),
+b AS (SELECT vec_id AS id, round(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 6) AS s FROM embeddings, (SELECT arg_min(embedding, vec_id) AS q FROM embeddings))
+SELECT id, round(CASE WHEN coalesce(t, 0) > 0 AND coalesce(s, 0) > 0 THEN 0.7::DOUBLE * s + 0.3::DOUBLE * t ELSE greatest(coalesce(s, 0), coalesce(t, 0)) END, 7) AS score FROM a FULL JOIN (SELECT * FROM b WHERE s > 0.1) USING (id)""",
+)
 def hybrid_merge(spark, folder):
-    texts = table(spark, folder, "documents").filter("n_chars > 1500").select(F.col("doc_id").alias("id"), (F.col("n_chars") / F.lit(40000.0)).alias("text_rank"))
-    vectors = table(spark, folder, "embeddings").filter("label < 6").select(F.col("vec_id").alias("id"), F.abs(F.col("embedding")[0].cast("double")).alias("semantic"))
-    return R.blended(texts, vectors, "id", "text_rank", "semantic", 0.7).select("id", F.round("score", 6).alias("score"))
+    """Hits of full text and of vectors, merged by id: both blended, else the one there is."""
+    index = I.build(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"), stemmed=False)
+    vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = vectors.groupBy().agg(F.min_by("embedding", "id").alias("q"))
+    near = Q.within_distance(vectors, "id", "embedding", asked, 0.9).withColumnRenamed("similarity", "semantic")
+    return R.blended(I.search(index, [["thatin"], ["the"]]), near, "id", "text_rank", "semantic", 0.7).select("id", F.round("score", 7).alias("score"))
 
 
 @register("effective_weights", "SELECT word, count(*) AS n, round(count(*) / (SELECT count(*) FROM part), 6) AS weight FROM (SELECT unnest(list_distinct(string_split(p_name, ' '))) AS word FROM part) GROUP BY word")
