@@ -149,8 +149,8 @@ def dedup_exact(docs: DataFrame, name: Callable[[bytes], bytes] = name_of) -> Da
     """
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), text_or_empty().alias("text"))
     recipes = checkpointed(rows.mapInArrow(_recipes(name), SCHEMA))
-    found = _verified(rows, recipes, name).withColumn("recipe", F.array_join(F.transform("recipe", F.hex), ","))
+    found = _verified(rows, recipes, name).withColumn("recipe", F.array_join(F.transform("recipe", F.hex), ",")).withColumn("n_chunks", F.size("names")).drop("names")
     best = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("uid").alias("row")))
     groups = checkpointed(found.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size")))
     out = join_groups(found, groups, "recipe", "group_size")
-    return out.select("doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.row")).alias("kept"), "text_sha256", F.size("names").alias("n_chunks"), "text_hash")
+    return out.select("doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.row")).alias("kept"), "text_sha256", "n_chunks", "text_hash")

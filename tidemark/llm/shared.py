@@ -6,58 +6,20 @@ cluster names in ``spark.checkpoint.dir``, so a lost executor costs a re-read an
 
 from __future__ import annotations
 
-import json
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.bits import hash_bits, may_be_in, once
+from tidemark.session import checkpointed, scratch, shared_folder
+from tidemark.session import shipped as ship
+
+__all__ = ["checkpointed", "hash_bits", "join_groups", "may_be_in", "once", "parts_for", "read_raw", "remove", "scratch", "shared_folder", "ship", "text_or_empty", "write_raw"]
+
 #: White space of all word rules here, as a character class of both regular expression engines.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this library where they can't find it themselves; Spark's file server sends it."""
-    context = spark.sparkContext
-    if context.applicationId not in _SHIPPED:
-        _SHIPPED.add(context.applicationId)
-        top = Path(__file__).resolve().parents[1]
-        with zipfile.ZipFile(file := f"{tempfile.mkdtemp(prefix='tidemark-')}/tidemark.zip", "w") as out:
-            for path in sorted(top.rglob("*.py")):
-                out.write(path, path.relative_to(top.parent))
-        context.addPyFile(file)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where none is set, as in tests on one machine, a temporary one becomes it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """The frame's rows, written to the shared folder and without the plan that made them."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint()
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-
-
 def remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -77,45 +39,29 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path)
 
 
-def parts_for(amount: int, per_part: int) -> int:
-    """So many partitions that none gets much over ``per_part`` of ``amount``."""
-    return max(1, -(-amount // per_part))
+def parts_for(amount: int, per_part: int, few: int = 1000, largest: int = 1 << 30) -> int:
+    """Partitions of about ``per_part`` each while these are ``few``, beyond that larger ones, up to ``largest``.
+
+    So 100 TB are 100,000 partitions of 1 GB and not millions, whose shuffle no driver could keep track of.
+    """
+    parts = -(-amount // per_part)
+    return max(1, parts if parts <= few else max(few, -(-amount // largest)))
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, most_heavy: int = 500) -> DataFrame:
     """``rows`` with the columns of ``groups``, one row for each key with the number of its rows in ``size``.
 
-    Keys with more than 1 / ``most_heavy`` of all rows, ``most_heavy`` at most, are broadcast, so that their rows stay
-    where they are; the others are joined by a shuffle. Rows without a group are dropped, as those with a null key.
+    Keys with more than 1 / ``most_heavy`` of all rows, and those with over a million rows and 1 / 20,000 of all, are
+    broadcast, ``most_heavy`` + 20,000 at most, so that their rows stay where they are; the others are joined by a shuffle.
+    Rows without a group are dropped, as those with a null key.
     ``rows`` is read twice and ``groups`` three times: both should be checkpointed or cheap.
     """
     total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    groups = groups.withColumn("_heavy", F.col(size) * most_heavy > total)
+    groups = groups.withColumn("_heavy", (F.col(size) * most_heavy > total) | (F.col(size) > max(1_000_000, total // 20_000)))
     heavy = F.broadcast(groups.filter("_heavy").drop("_heavy"))
     others = rows.join(heavy.select(key), key, "left_anti").join(groups.filter("not _heavy").drop("_heavy"), key)
     return rows.join(heavy, key).unionByName(others)
 
 
-def once(value: Column, use) -> Column:
-    """``use`` of a value that is evaluated once, however often it stands in there."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def hash_bits(values: DataFrame, column: str, bits: int) -> Column:
-    """A constant of ``bits`` bits with those of the column's hashes set; ``bits`` is a multiple of 64 and doesn't grow with the data."""
-    bit = F.pmod(F.xxhash64(column), F.lit(bits))
-    words = values.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, CAST(b & 63 AS INT)))").alias("w"))
-    found = [0] * (bits // 64)
-    for row in words.collect():  # bits / 64 numbers at most
-        found[row["at"]] = row["w"]
-    return F.from_json(F.lit(json.dumps(found)), "array<long>")
-
-
-def may_be_in(filled: Column, value: Column, bits: int) -> Column:
-    """False only for values that weren't among those of ``hash_bits``; null for a null."""
-    test = lambda b: F.getbit(F.get(filled, F.shiftright(b, 6).cast("int")), b.bitwiseAND(F.lit(63)).cast("int")) == 1
-    return once(F.when(value.isNotNull(), F.pmod(F.xxhash64(value), F.lit(bits))), test)
-
-
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
