@@ -27,8 +27,8 @@ from tidemark.llm.shared import checkpointed
 from tidemark.llm.vectors import integers, matrix, products, usable
 
 MOST_PIVOTS, MOST_PARTITIONS = 64, 2048
-#: Vectors to a block, queries to a pack, and cells that the first interval of a query has.
-BLOCK, PACK, FIRST_CELLS = 1024, 128, 4
+#: Vectors to a block, queries to a pack, cells that the first interval of a query has, and how many times more the next has.
+BLOCK, PACK, FIRST_CELLS, WIDER = 1024, 128, 8, 8
 #: Scores are above this: components are 2^27 at most.
 NONE = -(1 << 62)
 NO_ID = (1 << 63) - 1
@@ -145,7 +145,7 @@ def _lists(batch: pa.RecordBatch, name: str) -> np.ndarray:
 def _advanced(geometry: Geometry, k: int):
     """Takes in each query's k-th scores, and moves its frontier on: a cell that may reach the frontier is scanned.
 
-    While a band lacks rows the frontier takes four times as many cells as before; then it goes to the least k-th score, or
+    While a band lacks rows the frontier takes WIDER times as many cells as before; then it goes to the least k-th score, or
     the band's end, and the search is over. ``reach``: cells so far, zero for a query that is done.
     """
     _, pivot, low, high, _ = (np.array(c) for c in zip(*geometry.cells))
@@ -168,7 +168,7 @@ def _advanced(geometry: Geometry, k: int):
                 wanted = np.where(real, np.maximum(lows, kth), NO_ID).min(axis=1).astype(np.float64)
                 full = (~real | (kth > NONE)).all(axis=1)
                 ranked = -np.sort(-np.where(useful, upper, -np.inf), axis=1)
-                goal = np.where(reach <= 0, FIRST_CELLS, reach * 4)
+                goal = np.where(reach <= 0, FIRST_CELLS, reach * WIDER)
                 target = np.where(goal >= len(pivot), -np.inf, ranked[np.arange(len(q)), np.minimum(goal, len(pivot)) - 1])
                 target = np.where(full, wanted, np.maximum(target, wanted))
                 open_ = (useful & (upper < frontier[:, None]) & (upper >= target[:, None])).any(axis=1)
