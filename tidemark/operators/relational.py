@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.operators.ranks import exact_quantiles
 
 
 def aggregates_on_dimension(dimension: DataFrame, key: str, parts: Sequence[DataFrame]) -> DataFrame:
@@ -33,20 +34,17 @@ def updated_from(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 def percentiles_by_rank(rows: DataFrame, key: str, value: str, between: Mapping[str, float], nearest: Mapping[str, float]) -> DataFrame:
     """Per key percentiles of ``value``: ``between`` with linear interpolation, ``nearest`` at the rank below. Nulls are left out.
 
-    Equal values are counted together first, so what is ranked is a row per different value, and a group's values are
-    never held in one buffer.
+    By selection: ranges are counted and refined, so no key is sorted in one task.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("key"), F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("key").orderBy("value")
-    ranked = counts.select("key", "value", F.sum("n").over(w).alias("upto"), F.sum("n").over(Window.partitionBy("key")).alias("all"))
-    at = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("value")))  # noqa: E731  the value of a rank from 0
+    shares = sorted({*between.values(), *nearest.values()})
+    found = exact_quantiles(rows, key, value, shares)
+    of = lambda p, c: F.max(F.when(F.col("share") == p, c))
     out = []
     for name, p in between.items():
-        place = F.lit(p) * (F.col("all") - 1)
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        out.append(F.round(low + (high - low) * (F.first(place) - F.first(F.floor(place))), 6).alias(name))
-    out += [at(F.floor(F.lit(p) * (F.col("all") - 1))).alias(name) for name, p in nearest.items()]
-    return ranked.groupBy("key").agg(*out).withColumnRenamed("key", key)
+        place = F.lit(p) * (F.col("n") - 1)
+        out.append(F.round(of(p, F.col("low") + (F.col("high") - F.col("low")) * (place - F.floor(place))), 6).alias(name))
+    out += [of(p, F.col("low")).alias(name) for name, p in nearest.items()]
+    return found.groupBy(key).agg(*out)
 
 
 def page(rows: DataFrame, limit: int, offset: int, *order: Column) -> DataFrame:
