@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Each module registers its queries when it is imported.
-MODULES = ("catalogue", "selection", "scoring", "records", "filters", "relational", "community", "lifecycle", "dedupe", "search", "extraction", "evaluation", "feeds", "sources", "topics", "further")
+MODULES = ("catalogue", "selection", "scoring", "records", "filters", "relational", "community", "lifecycle", "dedupe", "search", "extraction", "evaluation", "feeds", "sources", "topics", "further", "governance")
 
 
 def register_all() -> None:
