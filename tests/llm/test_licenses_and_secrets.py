@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -49,6 +50,20 @@ def test_the_best_of_overlapping_notices_stays(spark):
     assert [(r.want, r.licenses) for r in found if r.want != r.licenses] == []
 
 
+def test_whole_licenses_and_parts_of_them(spark):
+    """Whole texts, their first and middle parts, and ones with a changed word in every forty; other words around them."""
+    rows = []
+    for file, name in licenses.LONG.items():
+        text = (Path(licenses.__file__).parent / "license_texts" / f"{file}.txt").read_text()
+        ws = text.split()
+        edited = [w if i % 40 else "changed" for i, w in enumerate(ws)]
+        rows += [(name, text), (name, "Before it. " + text[:8000] + " and after."), (name, " ".join(ws[len(ws) // 3 : len(ws) // 3 + 500])), (name, " ".join(edited))]
+    rows.append(("", "the quick brown fox jumps over the lazy dog and then some more words " * 40))
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "want string, text string").repartition(8), licenses.TEMPLATES + licenses.long_templates()).collect()
+    assert [(r.want, r.licenses, len(r.text)) for r in found if r.want and r.want not in r.licenses.split(",")] == []
+    assert [r.licenses for r in found if not r.want] == [""]
+
+
 def test_licenses(spark, both, texts, empty):
     rng, rows = random.Random(4), []
     filler = lambda n: " ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(n))

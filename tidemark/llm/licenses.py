@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import random
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,27 @@ TEMPLATES = [
 ]
 
 
+#: Files of whole licenses in license_texts, and their ids.
+LONG = {
+    "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0",
+    "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+}
+#: Words to a passage of a whole license; a rest of fewer than half as many goes with the passage before it.
+PASSAGE = 150
+
+
+def long_templates() -> list[tuple[str, str]]:
+    """The passages of whole licenses, so that a license is found by any of them. Those that licenses share give each of these."""
+    out = []
+    for file, name in LONG.items():
+        words = (Path(__file__).parent / "license_texts" / f"{file}.txt").read_text(encoding="utf-8").split()
+        starts = list(range(0, len(words), PASSAGE))
+        if len(starts) > 1 and len(words) - starts[-1] < PASSAGE // 2:
+            starts.pop()
+        out += [(name, " ".join(words[a:b])) for a, b in zip(starts, [*starts[1:], len(words)])]
+    return out
+
+
 def size_class(m: int) -> int:
     """The smallest size of windows that holds ``m`` shingles; sizes are a quarter apart."""
     size = 1

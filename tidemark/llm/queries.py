@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.licenses import TEMPLATES, long_templates
 from tidemark.llm.licenses import oracle_sql as licenses_oracle
 from tidemark.llm.pii import oracle_sql as personal_data_oracle
 from tidemark.llm.shared import checkpointed, remove, scratch, ship
@@ -88,9 +89,9 @@ def secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def licenses(spark: SparkSession, folder: str) -> DataFrame:
-    from tidemark.llm.licenses import TEMPLATES, scan_licenses
+    from tidemark.llm.licenses import scan_licenses
 
-    found = scan_licenses(table(spark, folder, "documents").select("doc_id", "text"), TEMPLATES)
+    found = scan_licenses(table(spark, folder, "documents").select("doc_id", "text"), TEMPLATES + long_templates())
     return found.select("doc_id", "n_matches", "licenses")
 
 
@@ -192,7 +193,7 @@ n AS (
   SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.uid ORDER BY s.score DESC, s.id NULLS LAST) AS k, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
   FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
 SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3""",
-    "op2_license_scan": licenses_oracle(),
+    "op2_license_scan": licenses_oracle(TEMPLATES + long_templates()),
     "op1_warc_round_trip": r"""
 WITH rows AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 marked AS (
