@@ -159,7 +159,7 @@ def nation_summary(spark, folder):
     return rows.filter("customers > 0")
 
 
-@register("plugged_scores", f"WITH {POSTS} SELECT id, CAST(length(text) % 7 AS DOUBLE) AS length_score, CASE WHEN contains(lower(text), 'thatin') THEN 1.0 ELSE 0.0 END AS term_score FROM posts")
+@register("plugged_scores", f"WITH {POSTS} SELECT id, CAST(length(text) % 7 AS DOUBLE) AS length_score, CASE WHEN contains(lower(text), 'thatin') THEN 1.0 ELSE 0.0 END::DOUBLE AS term_score FROM posts")
 def plugged_scores(spark, folder):
     scorers = {"length_score": lambda t: (F.length(t) % 7).cast("double"), "term_score": lambda t: S.points(S.any_of(S.plain(t), ["thatin"]), 1.0)}
     return W.scored(posts(spark, folder).select("id", "text"), scorers).drop("text")
