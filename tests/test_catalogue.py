@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tidemark.operators import analytics as A
+from tidemark.operators import lifecycle as L
 from tidemark.plans import catalogue
 
 FOLDER = "/root/testdata/sf0.001"
@@ -76,3 +77,19 @@ def test_interleaving_drops_no_event(spark):
     order = lambda: (F.desc("v"), F.asc("id"))
     turns = lambda found: sorted((r.id, r.turn) for r in found.collect())
     assert turns(A.interleaved_in_buckets(rows, "k", F.floor("v"), *order())) == turns(A.interleaved(rows, "k", *order()))
+
+
+def test_insert_if_absent_reads_all_events(spark):
+    stored, fresh = set(), {}
+    for e in _table(spark, "events").collect():
+        key = (e.user_id, e.event_type, e.ts.hour)
+        if e.ts.isoformat() < "2024-01-16":
+            stored.add(key)
+        else:
+            fresh[key] = min(e.event_id, fresh.get(key, e.event_id))
+    want = {(*key, first) for key, first in fresh.items() if key not in stored}
+    found = catalogue.QUERIES["insert_if_absent"](spark, FOLDER).collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want and 0 < len(want) < len(fresh)
+    rows = spark.createDataFrame([(None, "a", 3), (None, "a", 2), (1, None, 5), (1, "a", 4)], "k int, v string, id int")
+    some = L.insert_if_absent(rows.filter("id = 5"), rows, ["k", "v"])
+    assert sorted(r.id for r in some.collect()) == [2, 4]

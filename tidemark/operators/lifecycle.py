@@ -43,12 +43,14 @@ def last_write_wins(stored: DataFrame, batch: DataFrame, keys: Sequence[str], ti
     return best.select("row.*")
 
 
-def insert_if_absent(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """The batch's rows whose key isn't stored, the first in the order of all columns of each key."""
+def insert_if_absent(stored: DataFrame, batch: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """The batch's rows whose key, of one column or several, isn't stored, the first in the order of all columns of each key."""
+    keys = [key] if isinstance(key, str) else list(key)
     order = [F.asc(c) for c in batch.columns]
-    first = batch.withColumn("_place_in_key", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_place_in_key = 1").drop("_place_in_key")
-    known = stored.select(F.col(key).alias("known_key")).distinct()
-    return first.join(known, F.col(key).eqNullSafe(F.col("known_key")), "left_anti")
+    first = batch.withColumn("_place_in_key", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_place_in_key = 1").drop("_place_in_key")
+    known = stored.select(*(F.col(k).alias(f"_known_{i}") for i, k in enumerate(keys))).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"_known_{i}")) for i, k in enumerate(keys)]
+    return first.join(known, same, "left_anti")
 
 
 def closed_versions(rows: DataFrame, keys: Sequence[str], time: str, version: str) -> DataFrame:

@@ -44,8 +44,15 @@ def last_write_wins(spark, folder):
     return L.last_write_wins(old, new, ["user_id"], "ts").select("user_id", "event_id", "event_type")
 
 
-@register("insert_if_absent", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@register("insert_if_absent", f"SELECT user_id, event_type, hour(ts) AS hour, first(event_id ORDER BY event_id NULLS FIRST) AS event_id FROM events GROUP BY ALL HAVING count(*) FILTER ({_EARLY}) = 0")
 def insert_if_absent(spark, folder):
+    """The later events' first by user, type and hour of the day, where no earlier event has these."""
+    old, new = (rows.select("user_id", "event_type", F.hour("ts").cast("long").alias("hour"), "event_id") for rows in _halves(spark, folder))
+    return L.insert_if_absent(old, new, ["user_id", "event_type", "hour"])
+
+
+@register("insert_absent_documents", "SELECT doc_id, first(source ORDER BY source NULLS FIRST) AS source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id IS NOT DISTINCT FROM d.doc_id) GROUP BY doc_id")
+def insert_absent_documents(spark, folder):
     """Documents that the labels don't have yet."""
     return L.insert_if_absent(table(spark, folder, "labels").select("doc_id"), table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
 
