@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from tidemark.llm import binary_ids, exact_dedup, golay, mixing, packing, quality, queries, simhash, word_ids
-from tidemark.llm.shared import scratch
+from tidemark.llm.shared import checkpointed, scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -205,6 +205,14 @@ def test_schedule_inverts_its_integral(spark):
         assert all(start * r.t + (1 - start) * r.t * r.t == pytest.approx(r.x, abs=1e-12) for r in rows)
 
 
+def test_exact_dedup_keeps_recipes_only(both, monkeypatch):
+    """Every file of a checkpoint costs the executor processes; one result is read by several jobs, unless names clash."""
+    held = []
+    monkeypatch.setattr(exact_dedup, "checkpointed", lambda frame: held.append(frame.columns) or checkpointed(frame))
+    assert exact_dedup.dedup_exact(both).count() == both.count()
+    assert held == [["uid", "doc_id", "text_hash", "n_chars", "text_sha256", "names"]]
+
+
 @pytest.mark.parametrize("name", [exact_dedup.name_of, lambda chunk: bytes([len(chunk) % 3])])
 def test_exact_dedup_whatever_the_hash(both, texts, empty, name):
     groups = defaultdict(list)

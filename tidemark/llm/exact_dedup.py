@@ -111,9 +111,10 @@ def _chunks(name: Callable[[bytes], bytes]):
 def _verified(rows: DataFrame, recipes: DataFrame, name: Callable[[bytes], bytes]) -> DataFrame:
     """Recipes in which no identifier stands for two different chunks."""
     distinct = rows.select("uid", "doc_id", "text").mapInArrow(_chunks(name), "name binary, chunk binary").groupBy("name", "chunk").count()
-    shared = checkpointed(distinct.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name"))
-    if shared.isEmpty():
+    shared = distinct.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1").select("name")
+    if not shared.count():  # nothing to keep: a checkpoint would be an empty file for each partition
         return recipes.withColumn("recipe", F.col("names"))
+    shared = checkpointed(shared)
     # rare: texts with such a chunk get identifiers anew, from the chunks' bytes; a text is told by its two hashes, as
     # the rows are read again
     numbers = distinct.join(shared, "name", "left_semi").withColumn("number", F.row_number().over(Window.partitionBy("name").orderBy("chunk")))
@@ -151,6 +152,6 @@ def dedup_exact(docs: DataFrame, name: Callable[[bytes], bytes] = name_of) -> Da
     recipes = checkpointed(rows.mapInArrow(_recipes(name), SCHEMA))
     found = _verified(rows, recipes, name).withColumn("recipe", F.array_join(F.transform("recipe", F.hex), ",")).withColumn("n_chunks", F.size("names")).drop("names")
     best = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id").alias("id"), F.col("uid").alias("row")))
-    groups = checkpointed(found.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size")))
+    groups = found.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"))  # of recipes only: cheaper than files
     out = join_groups(found, groups, "recipe", "group_size")
     return out.select("doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("best.row")).alias("kept"), "text_sha256", "n_chunks", "text_hash")
