@@ -24,3 +24,10 @@ def test_ids_of_texts(name, spaced, limit, monkeypatch):
     assert [t for t, a, b in zip(texts, want, found) if a != b] == []
     monkeypatch.setattr(word_ids, "BLOCK", 40)  # long texts go block by block
     assert [t for t, a in zip(texts, want) if ids.ids(t) != a] == []
+
+
+def test_words_with_punctuation_take_no_room():
+    ids = word_ids.WordIds(public_tokenizers.path("byte_bpe_50k.json"), True)
+    text = "so tall, tall. tall! (tall) tall"
+    assert ids.ids(text) == array("I", ids.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    assert not {"tall,", "tall.", "tall!"} & ids.words.keys() and "tall" in ids.words

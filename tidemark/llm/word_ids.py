@@ -13,7 +13,7 @@ import re
 import string
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 
@@ -80,20 +80,20 @@ class WordIds:
             ids = self.tails[marks] = self._exact(marks)
         return ids
 
-    def _learn(self, new: Iterable[str]) -> dict[str, bytes | None]:
-        """Puts words into the dictionary; returns those that are too long for it."""
-        known, older, own = self.words, self.older, {}
+    def _learn(self, new: set[str], group: dict[str, bytes | None]) -> None:
+        """Puts words into ``group``, and into the dictionary those that are neither too long for it nor end in punctuation."""
+        known, older = self.words, self.older
+        held = list(filter(older.__contains__, new))
+        known.update(zip(held, map(older.__getitem__, held)))
+        new.difference_update(held)
         runs: dict[str, dict[str, str]] = {" ": {}, "\n": {}}
         marked = []
         for word in new:
-            if (ids := older.get(word)) is not None:
-                known[word] = ids
-                continue
             body = word.rstrip(string.punctuation)
             before = "\n" if self.spaced and word[:1] == "\n" else " "
             letters = body[1:] if before == "\n" else body
             if len(word) > LONGEST_KEPT:
-                own[word] = self._other(word)
+                group[word] = self._other(word)
             elif self._plain(letters) and (self.marked_specials or not any(x in word for x in self.special)):
                 if body not in known:
                     if (ids := older.get(body)) is not None:
@@ -102,16 +102,19 @@ class WordIds:
                         runs[before][letters] = body
                 if body != word:
                     marked.append((word, body))
+                else:
+                    held.append(word)
             else:
                 known[word] = self._other(word)
+                held.append(word)
         for before, found in runs.items():
             for at in range(0, len(found), 1000):
                 some = list(found)[at : at + 1000] if len(found) > 1000 else list(found)
                 for letters, ids in zip(some, self._runs(some, before)):
                     known[found[letters]] = ids
+        group.update(zip(held, map(known.__getitem__, held)))
         for word, body in marked:
-            known[word] = known[body] + self._tail(word[len(body) :])
-        return own
+            group[word] = known[body] + self._tail(word[len(body) :])
 
     def _cut(self, text: str) -> list[str] | None:
         """A block's words; of a tokenizer that keeps white space, the first is what stands before any space."""
@@ -127,25 +130,24 @@ class WordIds:
     def _group(self, texts: list[str]) -> list[bytes]:
         """Of blocks; the new words of all of them are learnt together."""
         cut = [self._cut(text) for text in texts]
-        mine = [words[self.spaced :] for words in cut if words is not None]
-        new = {w for words in mine for w in words if w not in self.words}
-        if len(self.words) + len(new) > self.limit:
-            self.older, self.words = self.words, {}
-            new = {w for words in mine for w in words}
-        own = self._learn(new) if new else {}
-        return [self._joined(text, words, own) for text, words in zip(texts, cut)]
-
-    def _joined(self, text: str, words: list[str] | None, own: dict[str, bytes | None]) -> bytes:
+        new = set().union(*(words[self.spaced :] for words in cut if words is not None))
+        held = list(filter(self.words.__contains__, new))
+        if len(self.words) + len(new) - len(held) > self.limit:
+            self.older, self.words, held = self.words, {}, []
+        group = dict(zip(held, map(self.words.__getitem__, held)))
+        new.difference_update(held)
+        if new:
+            self._learn(new, group)
+        return [self._joined(text, words, group) for text, words in zip(texts, cut)]
+
+    def _joined(self, text: str, words: list[str] | None, group: dict[str, bytes | None]) -> bytes:
         if words is None:
             return self._exact(text)
         first = b""
         if self.spaced:  # the first word has no space before it
             first, words = self._exact(words[0]) if words[0] else b"", words[1:]
-        known = self.words
         try:
-            if own:
-                return first + b"".join([own[w] if w in own else known[w] for w in words])
-            return first + b"".join(map(known.__getitem__, words))
+            return first + b"".join(map(group.__getitem__, words))
         except TypeError:  # a word whose ids depend on the white space beside it
             return self._exact(text)
 
