@@ -31,3 +31,18 @@ def test_words_with_punctuation_take_no_room():
     text = "so tall, tall. tall! (tall) tall"
     assert ids.ids(text) == array("I", ids.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
     assert not {"tall,", "tall.", "tall!"} & ids.words.keys() and "tall" in ids.words
+
+
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_latin_words_by_the_model_alone(name, spaced, monkeypatch):
+    """Every Latin letter at either end and within a word, with and without punctuation, over several groups of texts."""
+    ids = word_ids.WordIds(public_tokenizers.path(name), spaced)
+    assert ids.direct
+    monkeypatch.setattr(ids, "_runs", lambda *_: pytest.fail("the whole tokenizer isn't needed for these"))
+    letters = [chr(c) for c in range(0x180) if word_ids._latin(chr(c))]
+    assert len(letters) == 52 + 62 + 127
+    words = [x for c in letters for x in (c, c + "a", "A" + c + "b,", "then" + c + "...")]
+    texts = [" ".join(random.Random(i).sample(words, 90)) + "\nof " + "\n".join(random.Random(-i).sample(words, 30)) for i in range(40)]
+    want = [array("I", ids.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    monkeypatch.setattr(word_ids, "GROUP", 3000)
+    assert list(ids.many(pa.array(texts))) == want

@@ -1,9 +1,10 @@
-"""Token ids of whole texts by the tokenizers library, a word at a time and each new word once per worker.
+"""Token ids of whole texts by the tokenizers library, each new word once per worker.
 
 Both public tokenizers cut a text before any single space that stands between two other characters, whatever comes
 further on, so the ids of a text are those of its words in a row. A word is met again far more often than a new one
-comes up; each Python worker holds the ids of words in two dictionaries of bounded size. When the newer is full it
-becomes the older, from which words that are met again move over, so frequent words stay at hand.
+comes up. Arrow cuts a group of texts, numbers its distinct words and lays their ids out again in the texts' order, so
+Python meets a word once per group; each Python worker holds the ids of words in two dictionaries of bounded size. When
+the newer is full it becomes the older, from which words that are met again move over, so frequent words stay at hand.
 """
 
 from __future__ import annotations
@@ -15,12 +16,29 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Longer pieces aren't kept in the dictionary.
 LONGEST_KEPT = 60
 #: Texts are cut into blocks of about so many characters, to bound the memory that a very long one takes.
 BLOCK = 1 << 20
+#: Bytes of texts whose words are learnt together.
+GROUP = 4 << 20
+#: Letters that any version of Unicode takes for composed ones with one letter as lower case.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_latin = re.compile(f"[{_LATIN}]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for a byte: printable ones for themselves, then others in a row."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in printable else next(others)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
 
 
 class WordIds:
@@ -35,25 +53,51 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         #: A mark before a letter in each: none is part of a word of letters with marks behind them.
         self.marked_specials = all(re.search(r"[^\w\s].*\w", x) for x in self.special)
-        self.spaced, self.lead, self.limit = spaced, " " if spaced else "", limit
-        #: Words as ``_cut`` gives them; one that begins with a line feed follows it, all others follow a space.
+        self.spaced, self.limit = spaced, limit
+        #: Runs of letters, those that follow a line feed with it in front; other words with a space in front.
         self.words: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
-        #: Runs of punctuation after letters.
-        self.tails: dict[str, bytes] = {}
+        #: Runs of punctuation after letters, and first words.
+        self.pieces: dict[str, bytes] = {}
+        probes = ["a" + chr(c) + "Ab" for c in range(0x180) if _latin(chr(c))]
+        #: Whether the tokenizer's model gives the ids of Latin letters without what stands around it.
+        self.direct = all([self._run(x, before) for x in probes] == self._runs(probes, before) for before in (" \n" if spaced else " "))
 
     def _exact(self, piece: str) -> bytes:
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
+    def _kept(self, piece: str) -> bytes:
+        if (ids := self.pieces.get(piece)) is None:
+            ids = self._exact(piece) if piece else b""
+            if len(piece) <= LONGEST_KEPT:
+                if len(self.pieces) > self.limit:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
+        return ids
+
     def _plain(self, letters: str) -> bool:
         """One run of letters, before and after the tokenizer's normalizer, which makes letter and mark of some."""
         if not letters.isalpha():
             return False
         return self.spaced or letters.isascii() or unicodedata.normalize("NFC", letters).lower().isalpha()
 
+    def _run(self, letters: str, before: str) -> bytes:
+        """Of a run of Latin letters, by the model alone."""
+        if not self.spaced:
+            letters = letters.lower()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(_LETTERS)
+        first = b""
+        if self.spaced and before == " ":
+            letters = _LETTERS[ord(" ")] + letters
+        elif self.spaced:
+            first = self._kept(before)
+        return first + array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
+
     def _runs(self, runs: list[str], before: str) -> list[bytes]:
         """Of runs of letters, each with ``before`` in front of it; one call for all, as the tokenizer cuts between them."""
         found = self.tokenizer.encode(before + before.join(runs), add_special_tokens=False)
@@ -73,83 +117,78 @@ class WordIds:
             return None
         return self._exact(word if inner is not word else " " + word)
 
-    def _tail(self, marks: str) -> bytes:
-        if (ids := self.tails.get(marks)) is None:
-            if len(self.tails) > self.limit:
-                self.tails.clear()
-            ids = self.tails[marks] = self._exact(marks)
-        return ids
-
-    def _learn(self, new: set[str], group: dict[str, bytes | None]) -> None:
-        """Puts words into ``group``, and into the dictionary those that are neither too long for it nor end in punctuation."""
-        known, older = self.words, self.older
-        held = list(filter(older.__contains__, new))
-        known.update(zip(held, map(older.__getitem__, held)))
-        new.difference_update(held)
-        runs: dict[str, dict[str, str]] = {" ": {}, "\n": {}}
-        marked = []
-        for word in new:
+    def _looked_up(self, words: list[str]) -> list[bytes | None]:
+        """Ids of distinct words; those that are new, and not too long, are put into the dictionary without punctuation behind them."""
+        if len(self.words) > self.limit:
+            self.older, self.words = self.words, {}
+        known, older, pieces = self.words, self.older, self.pieces
+        free_of_special = lambda word: self.marked_specials or not any(x in word for x in self.special)
+        out: list[bytes | None] = []
+        late: list[tuple[int, str]] = []
+        for at, word in enumerate(words):
             body = word.rstrip(string.punctuation)
-            before = "\n" if self.spaced and word[:1] == "\n" else " "
+            ids = known.get(body)
+            if ids is not None and len(body) < len(word):
+                tail = pieces.get(word[len(body) :])
+                ids = ids + tail if tail is not None and self.marked_specials and len(word) <= LONGEST_KEPT else None
+            if ids is None:
+                late.append((at, body))
+            out.append(ids)
+        runs: dict[str, dict[str, str]] = {" ": {}, "\n": {}}
+        plain = []
+        for at, body in late:
+            word = words[at]
+            before = "\n" if self.spaced and body[:1] == "\n" else " "
             letters = body[1:] if before == "\n" else body
             if len(word) > LONGEST_KEPT:
-                group[word] = self._other(word)
-            elif self._plain(letters) and (self.marked_specials or not any(x in word for x in self.special)):
+                out[at] = self._other(word)
+            elif self._plain(letters) and free_of_special(word):
+                plain.append((at, body))
                 if body not in known:
-                    if (ids := older.get(body)) is not None:
-                        known[body] = ids
-                    else:
+                    if (ids := older.get(body)) is None and self.direct and _latin(letters):
+                        ids = self._run(letters, before)
+                    if ids is None:
                         runs[before][letters] = body
-                if body != word:
-                    marked.append((word, body))
-                else:
-                    held.append(word)
+                    else:
+                        known[body] = ids
             else:
-                known[word] = self._other(word)
-                held.append(word)
+                key = " " + word
+                if key not in known:
+                    known[key] = older[key] if key in older else self._other(word)
+                out[at] = known[key]
         for before, found in runs.items():
             for at in range(0, len(found), 1000):
                 some = list(found)[at : at + 1000] if len(found) > 1000 else list(found)
                 for letters, ids in zip(some, self._runs(some, before)):
                     known[found[letters]] = ids
-        group.update(zip(held, map(known.__getitem__, held)))
-        for word, body in marked:
-            group[word] = known[body] + self._tail(word[len(body) :])
-
-    def _cut(self, text: str) -> list[str] | None:
-        """A block's words; of a tokenizer that keeps white space, the first is what stands before any space."""
-        if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        if "\n" in text:
-            if " \n" in text:
-                return None
-            if not ("\n\n" in text or "\n " in text or text[0] == "\n" or text[-1] == "\n"):
-                text = text.replace("\n", " \n")
-        return text.split(" ")
-
-    def _group(self, texts: list[str]) -> list[bytes]:
-        """Of blocks; the new words of all of them are learnt together."""
-        cut = [self._cut(text) for text in texts]
-        new = set().union(*(words[self.spaced :] for words in cut if words is not None))
-        held = list(filter(self.words.__contains__, new))
-        if len(self.words) + len(new) - len(held) > self.limit:
-            self.older, self.words, held = self.words, {}, []
-        group = dict(zip(held, map(self.words.__getitem__, held)))
-        new.difference_update(held)
-        if new:
-            self._learn(new, group)
-        return [self._joined(text, words, group) for text, words in zip(texts, cut)]
-
-    def _joined(self, text: str, words: list[str] | None, group: dict[str, bytes | None]) -> bytes:
-        if words is None:
-            return self._exact(text)
-        first = b""
-        if self.spaced:  # the first word has no space before it
-            first, words = self._exact(words[0]) if words[0] else b"", words[1:]
-        try:
-            return first + b"".join(map(group.__getitem__, words))
-        except TypeError:  # a word whose ids depend on the white space beside it
-            return self._exact(text)
+        for at, body in plain:
+            out[at] = known[body] + self._kept(words[at][len(body) :])
+        return out
+
+    def _group(self, texts: pa.Array) -> list[bytes]:
+        """Of blocks; the distinct words of all of them are looked up together."""
+        has = lambda x: pc.match_substring(texts, x)
+        if self.spaced:  # a line feed is cut off like a space where it stands between two other characters
+            exact = has(" \n")
+            alone = pc.invert(pc.or_(pc.or_(has("\n\n"), has("\n ")), pc.or_(pc.starts_with(texts, "\n"), pc.ends_with(texts, "\n"))))
+            cut = pc.if_else(exact, pa.scalar("", texts.type), pc.if_else(alone, pc.replace_substring(texts, "\n", " \n"), texts))
+            lists = pc.split_pattern(cut, " ")
+            firsts = [self._kept(x) for x in pc.list_element(lists, 0).to_numpy(zero_copy_only=False)]  # no space before it
+            lists = pc.list_slice(lists, 1)
+            whole = set(np.flatnonzero(exact.to_numpy(zero_copy_only=False)).tolist())
+        else:
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            firsts, whole = [b""] * len(texts), set()
+        words, starts = lists.flatten().dictionary_encode(), lists.offsets.to_numpy()
+        values = pa.array(self._looked_up(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        laid = values.take(words.indices)
+        if laid.null_count:  # words whose ids depend on the white space beside them
+            nulls = np.flatnonzero(laid.is_null().to_numpy(zero_copy_only=False))
+            whole.update((np.searchsorted(starts - starts[0], nulls, "right") - 1).tolist())
+        _, places, data = laid.buffers()
+        data = memoryview(data) if data is not None and len(laid) else memoryview(b"")
+        at = np.frombuffer(places, "<i8", len(laid) + 1)[starts - starts[0]].tolist() if len(laid) else [0] * len(starts)
+        return [self._exact(texts[i].as_py()) if i in whole else b"".join((firsts[i], data[at[i] : at[i + 1]])) for i in range(len(texts))]
 
     def _blocks(self, text: str) -> Iterator[str]:
         """Cut before a space between two characters that aren't white space; the space stays with the second block."""
@@ -165,16 +204,20 @@ class WordIds:
         yield text[at:] if at else text
 
     def ids(self, text: str) -> bytes:
-        return b"".join(b"".join(self._group([block])) for block in self._blocks(text))
+        return b"".join(self._group(pa.array([block], pa.large_string()))[0] for block in self._blocks(text))
 
-    def many(self, texts: pa.Array, rows: int = 128) -> Iterator[bytes]:
+    def many(self, texts: pa.Array, rows: int = 10_000) -> Iterator[bytes]:
         """Of a column of texts, some at a time; a long one by itself."""
-        for at in range(0, len(texts), rows):
-            some = texts.slice(at, rows).to_pylist()
-            if sum(map(len, some)) > BLOCK:
-                yield from map(self.ids, some)
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype="i8")
+        at = 0
+        while at < len(texts):
+            before = ends[at - 1] if at else 0
+            end = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + GROUP, "right"))))
+            if ends[end - 1] - before > GROUP:
+                yield self.ids(texts[at].as_py())
             else:
-                yield from self._group(some)
+                yield from self._group(texts.slice(at, end - at))
+            at = end
 
 
 _OPEN: dict[tuple[str, bool], WordIds] = {}
