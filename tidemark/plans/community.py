@@ -259,6 +259,8 @@ SELECT user_id, count(*) AS n, round(count(*) / 30, 1) AS f, round(avg(value + C
 )
 def crawl_archetypes(spark, folder):
     engagement = F.col("value") + F.get_json_object("props", "$.k").cast("long")
-    sums = table(spark, folder, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.count("*") / 30, 1).alias("f"), F.round(F.avg(engagement), 1).alias("e"), F.avg((F.col("event_type") != "error").cast("int")).alias("r"))
+    # to nine places first: a sum of doubles is off by its order, which would decide an average halfway between two tenths
+    average, rate = F.round(F.round(F.avg(engagement), 9), 1), F.avg(F.coalesce(F.col("event_type") != "error", F.lit(False)).cast("int"))
+    sums = table(spark, folder, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.count("*") / 30, 1).alias("f"), average.alias("e"), rate.alias("r"))
     kind = F.when((F.col("f") >= 2) & (F.col("e") >= 70), "firehose").when(F.col("f") >= 2, "steady").when(F.col("e") >= 70, "gem").otherwise("quiet")
     return sums.select("user_id", F.col("f").alias("posts_per_day"), F.col("e").alias("engagement"), kind.alias("archetype"), S.crawl_interval_hours(F.col("r")).alias("hours"), S.tier_by_valid_posts(F.col("n"), F.lit(True), F.col("user_id") % 7 == 0, 70, 55).alias("tier"))
