@@ -13,13 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import checkpointed, shipped
 
-#: At most so many lists, and rows in the sample that their centroids are fitted on.
+#: At most so many lists, and rows in the sample that their centroids are fitted on; rows and bytes from which a group of blocks ends.
 MOST_LISTS, SAMPLE, BLOCK = 1024, 20_000, 1024
+GROUP, GROUP_BYTES = 8192, 1 << 23
 
 
 @dataclass
@@ -197,18 +199,42 @@ def nearest(lists: Lists, queries: DataFrame, k: int, probes: int = 8, digits: i
     return found.drop("place").unionByName(rest).withColumn("place", place).filter(F.col("place") <= k)
 
 
+def _groups(rows: int, size: int):
+    """Runs of a partition's blocks (part, block, ids, xs) of one part, until they have ``rows`` rows or ``size`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = TaskContext.get().partitionId() << 32, []
+
+        def flush() -> pa.RecordBatch:
+            ids = np.concatenate([np.asarray(h["ids"], np.int64) for h in held])
+            arrays = [pa.array([group]), pa.array([[h["block"] for h in held]], pa.list_(pa.int64())), pa.array([ids], pa.list_(pa.int64())), pa.array([b"".join(h["xs"] for h in held)], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, ["group", "blocks", "ids", "xs"])
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {c: batch.column(c)[at].as_py() for c in ("part", "block", "xs")} | {"ids": batch.column("ids")[at].values.to_numpy(zero_copy_only=False)}
+                if held and (held[0]["part"] != row["part"] or sum(len(h["ids"]) for h in held) >= rows or sum(len(h["xs"]) for h in held) >= size):
+                    yield flush()
+                    group, held = group + 1, []
+                held.append(row)
+        if held:
+            yield flush()
+
+    return run
+
+
 def _linked(least: float, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
                 ids = [batch.column(c)[at].values.to_numpy(zero_copy_only=False) for c in ("ids", "ids_")]
                 x, y = (np.frombuffer(batch.column(c)[at].as_py()).reshape(len(i), -1) for c, i in zip(("xs", "xs_"), ids))
-                score = np.round(x @ y.T, digits)
-                near = score >= least
-                if batch.column("block")[at] == batch.column("block_")[at]:
-                    near = np.triu(near, 1)
-                i, j = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[0][i]), pa.array(ids[1][j]), pa.array(score[i, j])], ["a", "b", "score"])
+                same = batch.column("group")[at] == batch.column("group_")[at]
+                for s in range(0, len(x), BLOCK):
+                    score = np.round(x[s : s + BLOCK] @ y.T, digits)
+                    near = score >= least
+                    i, j = np.nonzero(np.triu(near, 1 + s) if same else near)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[0][s + i]), pa.array(ids[1][j]), pa.array(score[i, j])], ["a", "b", "score"])
 
     return run
 
@@ -216,8 +242,8 @@ def _linked(least: float, digits: int):
 def links_within(rows: DataFrame, part: str, least: float, digits: int = 6, lists: int | None = None) -> DataFrame:
     """``rows`` (id, vector, part): all pairs (a, b, score) of rows of one part with an inner product of at least ``least``, once each.
 
-    Blocks of one part are compared in pairs, those only whose centroids and radii allow the product. Rows without a
-    vector have no links; vectors are of one length.
+    Groups of neighbouring blocks of one part are compared in pairs, those only with blocks whose centroids and radii allow the
+    product; a group moves once for each of its pairs. Rows without a vector have no links; vectors are of one length.
     """
     made = _in_blocks(rows.filter(F.col("vector").isNotNull()).select(F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), "id", "vector"), lists)
     if made is None:
@@ -228,6 +254,10 @@ def links_within(rows: DataFrame, part: str, least: float, digits: int = 6, list
     other = thin.select(*(F.col(c).alias(c + "_" if c != "part" else c) for c in thin.columns))
     product = F.aggregate(F.zip_with("c", "c_", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     bound = product + F.col("gap") * F.col("norm_") + F.col("gap_") * F.col("norm") + F.col("gap") * F.col("gap_")
-    pairs = thin.join(other, "part").filter(F.col("block") <= F.col("block_")).filter(bound + 10.0**-digits >= least).select("block", "block_")
-    left, right = blocks.select("block", "ids", "xs"), blocks.select(F.col("block").alias("block_"), F.col("ids").alias("ids_"), F.col("xs").alias("xs_"))
-    return pairs.join(left, "block").join(right, "block_").select("block", "block_", "ids", "xs", "ids_", "xs_").mapInArrow(_linked(least, digits), "a long, b long, score double")
+    groups = checkpointed(blocks.select("part", "block", "ids", "xs").mapInArrow(_groups(GROUP, GROUP_BYTES), "group long, blocks array<long>, ids array<long>, xs binary"))
+    of = lambda end: groups.select(F.explode("blocks").alias(f"block{end}"), F.col("group").alias(f"group{end}"))
+    allowed = thin.join(other, "part").filter(F.col("block") <= F.col("block_")).filter(bound + 10.0**-digits >= least).select("block", "block_")
+    met = allowed.join(of(""), "block").join(of("_"), "block_")
+    pairs = checkpointed(met.select(F.least("group", "group_").alias("group"), F.greatest("group", "group_").alias("group_")).distinct())
+    left, right = groups.select("group", "ids", "xs"), groups.select(F.col("group").alias("group_"), F.col("ids").alias("ids_"), F.col("xs").alias("xs_"))
+    return pairs.join(left, "group").join(right, "group_").select("group", "group_", "ids", "xs", "ids_", "xs_").mapInArrow(_linked(least, digits), "a long, b long, score double")
