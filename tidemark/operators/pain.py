@@ -5,24 +5,28 @@ words, a report's ``features`` most frequent) have a cosine of at least the thre
 number of clusters within bounds, the one with fewest clusters counts, then the lowest; if there is none, keywords alone do.
 Clusters beyond the most are added to the smallest ones; with too few, the largest are cut in half.
 
-Likeness comes from a join by prefixes, so no report's pairs are all looked at, and components from rounds; what is folded
-in one row is the list of a report's cluster sizes. Items without a description are left out; ids are distinct longs. A null report is the empty one.
+A report's items meet in pairs of blocks, each a product of matrices, which gives per threshold one link an item at most: those to
+the first of its component in the pair, as components are all that links are for. What is folded in one row is the list of a
+report's cluster sizes. Items without a description are left out; ids are distinct longs. A null report is the empty one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.graph import components
-from tidemark.operators.similarity import cosine_links
-from tidemark.session import checkpointed
+from tidemark.session import checkpointed, shipped
 
 #: Thresholds in the order in which they are tried.
 THRESHOLDS = (0.35, 0.45, 0.55, 0.65, 0.25)
 _NODE = 8  # thresholds and the keywords alone, to a node
+#: Items in a block, about.
+BLOCK = 1024
 
 
 def _words(text: Column, pattern: str, stop: Sequence[str]) -> Column:
@@ -30,18 +34,67 @@ def _words(text: Column, pattern: str, stop: Sequence[str]) -> Column:
 
 
 def features(items: DataFrame, stop: Sequence[str], most: int) -> DataFrame:
-    """id, report, feature, w: unit TF-IDF vectors over a report's ``most`` most frequent words and pairs, ties by name."""
+    """id, report, feature, w, place: unit TF-IDF vectors over a report's ``most`` most frequent words and pairs, ties by name."""
     words = _words(F.col("document"), r"[\p{L}\p{N}_]{2,}", stop)
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
     flat = items.select("id", "report", words.alias("words")).select("id", "report", F.explode(F.concat("words", pairs)).alias("feature"))
     tf = checkpointed(flat.groupBy("id", "report", "feature").agg(F.count("*").alias("tf")))
     sums = tf.groupBy("report", "feature").agg(F.sum("tf").alias("all"), F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("report").orderBy(F.desc("all"), "feature"))
-    kept = sums.withColumn("place", place).filter(F.col("place") <= most).select("report", "feature", "df")
+    kept = sums.withColumn("place", place).filter(F.col("place") <= most).select("report", "feature", "df", "place")
     n = items.groupBy("report").agg(F.count("*").alias("n"))
     weighted = tf.join(kept, ["report", "feature"]).join(n, "report").withColumn("w", F.col("tf") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1))
     norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norm, "id").select("id", "report", "feature", (F.col("w") / F.col("norm")).alias("w"))
+    return weighted.join(norm, "id").select("id", "report", "feature", (F.col("w") / F.col("norm")).alias("w"), "place")
+
+
+def _stars(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between rows and columns, each row's and each column's component by the number of its first row; -1 without a link."""
+    rows, columns = np.full(near.shape[0], -1), np.full(near.shape[1], -1)
+    for first in np.flatnonzero(near.any(axis=1)).tolist():
+        if rows[first] >= 0:
+            continue
+        new = np.array([first])
+        while len(new):
+            rows[new] = first
+            reached = np.flatnonzero(near[new].any(axis=0) & (columns < 0))
+            columns[reached] = first
+            new = np.flatnonzero(near[:, reached].any(axis=1) & (rows < 0))
+    return rows, columns
+
+
+def _block_links(thresholds: Sequence[float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                value = lambda c: batch.column(c)[k].values.to_numpy(zero_copy_only=False)
+                ids, other = value("ids"), value("ids_")
+                cosine = np.round(value("xs").reshape(len(ids), -1) @ value("xs_").reshape(len(other), -1).T, 6)
+                for t, bar in enumerate(thresholds):
+                    rows, columns = _stars(cosine >= bar)
+                    i, j = np.flatnonzero(rows >= 0), np.flatnonzero(columns >= 0)
+                    a, b = ids[np.concatenate([rows[i], columns[j]])], np.concatenate([ids[i], other[j]])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b]), pa.array(np.full(int((a != b).sum()), t, np.int32))], ["a", "b", "t"])
+
+    return run
+
+
+def threshold_links(vectors: DataFrame, most: int, thresholds: Sequence[float], block: int | None = None) -> DataFrame:
+    """``vectors`` (id, report, place from 1 to ``most``, w), each id's of norm one: links (a, b, t) of one report.
+
+    The components of a ``t`` are those of all pairs with a cosine, rounded to six places, of at least threshold ``t``, over 0.
+    """
+    shipped(vectors.sparkSession)
+    at = F.map_from_entries(F.collect_list(F.struct("place", "w")))
+    dense = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.coalesce(F.try_element_at("at", i), F.lit(0.0)))
+    rows = vectors.groupBy("id", "report").agg(at.alias("at")).select("id", "report", dense.alias("x"))
+    counts = rows.groupBy("report").agg(F.ceil(F.count("*") / (block or BLOCK)).cast("int").alias("parts"))
+    dealt = rows.join(counts, "report").withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    listed = dealt.groupBy("report", "side").agg(F.collect_list(F.struct("id", "x")).alias("r"))
+    blocks = checkpointed(listed.select("report", "side", F.col("r.id").alias("ids"), F.flatten("r.x").alias("xs")))
+    other = blocks.select("report", F.col("side").alias("side_"), F.col("ids").alias("ids_"), F.col("xs").alias("xs_"))
+    pairs = blocks.join(other, "report").filter("side <= side_").select("ids", "xs", "ids_", "xs_")
+    return pairs.mapInArrow(_block_links(thresholds), "a long, b long, t int")
 
 
 def keyword_links(items: DataFrame, stop: Sequence[str]) -> DataFrame:
@@ -86,10 +139,8 @@ def clustered(items: DataFrame, stop: Sequence[str], least: int = 2, most: int =
     """``items`` (report, id, description, document): (report, id, cluster), clusters numbered from 0, and the items' features."""
     items = checkpointed(items.filter(F.length(F.trim(F.coalesce("description", F.lit("")))) > 0).select(F.coalesce("report", F.lit("")).alias("report"), "id", "description", F.coalesce("document", "description").alias("document")))
     vectors = checkpointed(features(items, stop, most_features))
-    near = cosine_links(vectors.select("id", F.concat_ws("\u0001", "report", "feature").alias("word"), "w"), min(THRESHOLDS))
     keys = keyword_links(items, stop)
-    kinds = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(x).alias("bar")) for t, x in enumerate((*THRESHOLDS, 2.0))))
-    by_cosine = near.withColumn("k", F.explode(kinds)).filter(F.col("cosine") >= F.col("k.bar")).select("a", "b", "k.t")
+    by_cosine = threshold_links(vectors, most_features, THRESHOLDS)
     by_word = keys.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(len(THRESHOLDS)))))
     node = lambda c: F.col(c) * _NODE + F.col("t")
     links = checkpointed(by_cosine.unionByName(by_word).select(node("a").alias("a"), node("b").alias("b")))
